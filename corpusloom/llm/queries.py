@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, packing, sampling, site_lines, splits, splitting, text_form
+from . import consensus, leakage, packing, personal, sampling, site_lines, splits, splitting, text_form
 from .common import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read(spark, d, "annotation_queue"))[0].select("passage_id", "task", "label")
+
+
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read(spark, d, "annotation_queue"))[0]
+
+
+def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read(spark, d, "annotation_queue"))[1]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return text_form.look_alike_pairs(read(spark, d, "documents"), "doc_id")
 
@@ -93,5 +105,13 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaking(read(spark, d, "documents").select("doc_id", "ticker"), p9_found(spark, d), "doc_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_personal(read(spark, d, "documents"), "doc_id")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(read(spark, d, "documents").select("doc_id", "text"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("p") and n[1].isdigit()}
 SQL: dict[str, str] = {}
