@@ -48,6 +48,7 @@ def without_furniture(text: str) -> str:
 def quick_words(text: str) -> list[bytes]:
     """The words of a text, page furniture left in."""
     if not text.isascii():
+        text = text.replace("\xad\n", "-\n")
         text = _OUTER.sub("", consistent(text))
     if "\n" in text:
         text = text.replace("-\n", "").replace("¬\n", "")

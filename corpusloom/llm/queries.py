@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import consensus, leakage, packing, personal, sampling, site_lines, splits, splitting, text_form
+from . import consensus, leakage, packing, personal, sampling, scans, site_lines, splits, splitting, text_form
 from .common import read
 
 
@@ -21,6 +21,21 @@ def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(read(spark, d, "annotation_queue"))[1]
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Repairer]:
+    registry = read(spark, d, "collection_registry").select(F.lit("collection_registry").alias("src"), F.col("registry_id").alias("rec_id"), "text")
+    texts = registry.unionByName(read(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text"))
+    names = read(spark, d, "companies").select("name")
+    return texts, scans.fit_repairer(texts, names)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.spoilt_lines(*_scanned(spark, d))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_texts(*_scanned(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return text_form.look_alike_pairs(read(spark, d, "documents"), "doc_id")
 
