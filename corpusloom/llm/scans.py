@@ -141,12 +141,14 @@ def count_tables(texts: DataFrame) -> DataFrame:
                 clean.update(words_in(t if t.isascii() else "\n".join(lines)))
                 continue
             reps = repeats(lines)
+            rest = set()
             for k, j, a, b in hyphen_pairs(lines, reps):
                 pairs[a, b] += 1
                 joined[a + b] += 1
-            for l in lines:
+                rest.add(j)
+            for k, l in enumerate(lines):
                 ws = words_in(l)
-                paged.update(ws[:-1] if l.rstrip()[-1:] in ("-", "¬") else ws)
+                paged.update(ws[k in rest : len(ws) - (l.rstrip()[-1:] in ("-", "¬"))])
             heads.update({key_of(l) for l, r in zip(lines, reps) if r > 1 and len(key_of(l)) > 3 and l.rstrip()[-1:] not in (".", ",", ";", "-")})
         rows = [("w", w, "", clean[w], paged[w]) for w in clean.keys() | paged.keys()]
         rows += [("j", w, "", 0, n) for w, n in joined.items()] + [("p", a, b, 0, n) for (a, b), n in pairs.items()] + [("h", h, "", 0, n) for h, n in heads.items()]
@@ -218,7 +220,8 @@ def pair_features(s: str, s_clean: int, s_paged: int, c: str, c_clean: int, c_pa
     digits = sum(ch.isdigit() for ch in s)
     odd = sum(not ch.isalpha() for ch in s) - sum(not ch.isalpha() for ch in c)
     support = math.log1p(c_clean + c_paged)
-    return [plain, cost, plain / max(1, len(c)), float(len(c)), support, support - math.log1p(s_paged), math.log1p(s_clean), float(digits), float(odd), float(s[0] == c[0]), float(s[-1] == c[-1]), float(_shape_of_print(s) == _shape_of_print(c))]
+    x, y = _shape_of_print(s), _shape_of_print(c)
+    return [plain, cost, plain / max(1, len(c)), float(len(c)), support, support - math.log1p(s_paged), math.log1p(s_clean), float(digits), float(odd), float(x[0] == y[0]), float(x[-1] == y[-1]), float(x == y)]
 
 
 def spoil(word: str, rnd: random.Random, times: int) -> str:
@@ -394,7 +397,7 @@ def lay_out(text: str, name: str, rnd: random.Random) -> list[tuple[str, int]]:
     """A clean text in pages: (line, 0 text, 1 header, 2 page number)."""
     width, per_page = rnd.randint(46, 84), rnd.randint(8, 26)
     year = rnd.randint(2018, 2026)
-    title = rnd.choice([f"Annual Report {year}", f"{year} Results", f"Interim Report {year}", f"Business Review / {name}", f"Review continued / {name}", f"{name} - Half-Year Report {year}", f"{name} | Accounts {year}", name])
+    title = rnd.choice([f"Annual Report {year}", f"{year} Results", f"Interim Report {year}", f"Business Review / {name}", f"Review continued / {name}", f"Chairman's Statement continued / {name}", f"Notes to the accounts continued / {name}", f"Report of the directors - {name}", f"Strategic Report / {name}", f"{name} - Half-Year Report {year}", f"{name} | Accounts {year}", name])
     heads = [title, name] if rnd.random() < 0.4 else [title]
     if rnd.random() < 0.35:
         heads = [h.upper() for h in heads]
