@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Lines dropped when they match from their beginning, in any case.
 NOISE_LINES = (
@@ -60,7 +61,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible_form(s: pd.Series) -> pd.Series:
     """NFKC, which Spark lacks."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
@@ -68,7 +69,7 @@ def compatible_form(s: pd.Series) -> pd.Series:
 
 def plain_characters(c: Column) -> Column:
     """TXT-01: compatible form, ASCII quotes and dashes, currency sign as letters."""
-    c = F.translate(compatible_form(c), "‘’“”– ", "''\"\"- ")
+    c = F.translate(compatible_form(c), "\u2018\u2019\u201c\u201d\u2013\u00a0", "''\"\"- ")
     return F.replace(F.replace(c, F.lit("—"), F.lit(" - ")), F.lit("₦"), F.lit("NGN"))
 
 
@@ -87,7 +88,7 @@ def drop_boilerplate(c: Column) -> Column:
 
 def repair_artifacts(c: Column) -> Column:
     """TXT-04, in this order."""
-    for p, r in ((r"(\w+)-\n(\w+)", "$1$2"), (" {3,}", "  "), (r"\n{3,}", "\n\n"), (r"\|{2,}", " "), (r"\.{4,}", " "), ("_{3,}", " "), (r"[-]", " ")):
+    for p, r in ((r"(\w+)-\n(\w+)", "$1$2"), (" {3,}", "  "), (r"\n{3,}", "\n\n"), (r"\|{2,}", " "), (r"\.{4,}", " "), ("_{3,}", " "), (r"[\x{E000}-\x{F8FF}]", " ")):
         c = F.regexp_replace(c, f"(?uUd){p}", r)
     return c
 
@@ -129,19 +130,25 @@ def quality(c: Column) -> Column:
     )
 
 
-def clean_section(c: Column, unicode_form: bool = True) -> Column:
-    """TXT-07: struct of text, quality, char_count, original_len, compression."""
+def clean_text(c: Column, unicode_form: bool = True) -> Column:
+    """TXT-01..06 in order."""
     base = plain_characters(c) if unicode_form else c
-    text = strip(paragraphs(currency_words(repair_artifacts(drop_boilerplate(drop_noise_lines(base))))))
-    return section_struct(c, text)
+    return strip(paragraphs(currency_words(repair_artifacts(drop_boilerplate(drop_noise_lines(base))))))
 
 
-def section_struct(original: Column, text: Column) -> Column:
-    n, empty = F.length(text), original.isNull() | (strip(original) == "")
+def clean_sections(df: DataFrame, column: str = "text", unicode_form: bool = True) -> DataFrame:
+    """TXT-07: ``df`` with text, quality, char_count, original_len and compression in place of ``column``.
+
+    The cleaned text is a column of its own below the measures, so the chain runs once per row. char_count is the length
+    before a long text is cut.
+    """
+    rest = [c for c in df.columns if c != column]
+    staged = df.withColumn("__text", clean_text(F.col(column), unicode_form)).withColumn("__n", F.length("__text"))
+    n, text, empty = F.col("__n"), F.col("__text"), F.col(column).isNull() | (strip(F.col(column)) == "")
     kind = F.when(empty, "empty").when(n < MIN_CHARS, "too_short").when(n > MAX_CHARS, "truncated").otherwise(quality(text))
     cut = F.when(empty, "").when(n > MAX_CHARS, F.concat(F.substring(text, 1, MAX_CHARS), F.lit("\n[TRUNCATED]"))).otherwise(text)
-    packed = F.when(~empty, F.round((1 - n / F.length(original)) * 100, 1))
-    return F.struct(cut.alias("text"), kind.alias("quality"), F.when(empty, 0).otherwise(n).alias("char_count"), F.when(~empty, F.length(original)).alias("original_len"), packed.alias("compression"))
+    packed = F.when(~empty, F.round((1 - n / F.length(column)) * 100, 1))
+    return staged.select(*rest, cut.alias("text"), kind.alias("quality"), F.when(empty, 0).otherwise(n).alias("char_count"), F.when(~empty, F.length(column)).alias("original_len"), packed.alias("compression"))
 
 
 def section(c: Column, name: str, cap: int = 25_000) -> Column:

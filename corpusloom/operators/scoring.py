@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import FORWARD_WORDS, fill_prompt, repair_json
 
@@ -34,7 +35,7 @@ def score(rows: DataFrame, prompt: str, scorers: dict[str, Scorer], attempts: in
     """
     keep = keep or [c for c in rows.columns if c != prompt]
     base = rows.select(*keep, F.col(prompt).alias("__p"), F.explode(F.array(*[F.lit(m) for m in scorers])).alias("model"))
-    schema = base.drop("__p").withColumns({"raw": F.lit(""), "error": F.lit(""), "attempts": F.lit(0)}).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in base.drop("__p").schema]).add("raw", "string").add("error", "string").add("attempts", "integer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

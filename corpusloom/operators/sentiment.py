@@ -32,4 +32,4 @@ def scores(rows: DataFrame) -> DataFrame:
         F.avg(s).alias("sentiment_mean"), F.avg(s * i).alias("weighted"), F.sum(s).alias("sentiment_sum"), F.avg(g).alias("guidance_mean"), F.avg(F.coalesce("guidance", F.lit(False)).cast("int")).alias("guidance_rate"), F.count("item").alias("n_passages"), share("positive").alias("pct_pos"), share("negative").alias("pct_neg"), share("neutral").alias("pct_neu"),
     )
     out = out.withColumn("net_sentiment", F.col("pct_pos") - F.col("pct_neg")).withColumn("guidance_adj", 0.6 * F.col("weighted") + 0.4 * F.col("guidance_mean"))
-    return out.select("ticker", "year", "n_passages", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("ticker", "year", "n_passages")])
+    return out.select("ticker", "year", "n_passages", *[(F.round(c, 6) + 0.0).alias(c) for c in out.columns if c not in ("ticker", "year", "n_passages")])

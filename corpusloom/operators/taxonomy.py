@@ -30,27 +30,32 @@ def count_signals(text: Column, signals: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(s).cast("int") for s in signals])
 
 
-def tags(text: str = "text") -> Column:
-    """ERR-01: codes of a row with gold, pred, gold_guidance, pred_guidance (boolean), gold_type, pred_type, sector.
+def signal_counts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with the text in lower case and the counts of each signal list, once per row."""
+    low = rows.withColumn("__t", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    t = F.col("__t")
+    jargon = None
+    for sector, words in JARGON.items():
+        n = count_signals(t, words)
+        jargon = F.when(F.col("sector") == sector, n) if jargon is None else jargon.when(F.col("sector") == sector, n)
+    lists = {"__fx": FX, "__regulatory": REGULATORY, "__formal": FORMAL, "__local": LOCAL, "__macro": MACRO, "__forward": FORWARD, "__conditional": CONDITIONAL}
+    return low.withColumns({n: count_signals(t, w) for n, w in lists.items()} | {"__jargon": jargon.otherwise(0)}).drop("__t")
+
+
+def tags() -> Column:
+    """ERR-01: codes of a row with gold, pred, gold_guidance, pred_guidance (boolean), gold_type, pred_type and signal counts.
 
     Empty where the sentiment is right or missing; UNK where no rule fits.
     """
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    gold, pred = F.col("gold"), F.col("pred")
-    forward = count_signals(t, FORWARD) >= 1
-    gg, pg = F.coalesce(F.col("gold_guidance"), F.lit(False)), F.coalesce(F.col("pred_guidance"), F.lit(False))
-    a3 = (count_signals(t, FX) >= 2) & (gold == "positive") & pred.isin("negative", "neutral")
-    a4 = (count_signals(t, REGULATORY) >= 2) & (gold == "neutral") & (pred != "neutral")
-    a2 = (count_signals(t, FORMAL) >= 1) & (gold == "positive") & (pred == "neutral")
-    a1 = (count_signals(t, LOCAL) >= 3) & ~(a3 | a4 | a2)
-    jargon = None
-    for sector, words in JARGON.items():
-        hit = (F.col("sector") == sector) & (count_signals(t, words) >= 2)
-        jargon = hit if jargon is None else jargon | hit
+    c, gold, pred = F.col, F.col("gold"), F.col("pred")
+    gg, pg = F.coalesce(c("gold_guidance"), F.lit(False)), F.coalesce(c("pred_guidance"), F.lit(False))
+    a3 = (c("__fx") >= 2) & (gold == "positive") & pred.isin("negative", "neutral")
+    a4 = (c("__regulatory") >= 2) & (gold == "neutral") & (pred != "neutral")
+    a2 = (c("__formal") >= 1) & (gold == "positive") & (pred == "neutral")
     rules = (
-        ("A3", a3), ("A4", a4), ("A2", a2), ("A1", a1), ("B1", F.coalesce(jargon, F.lit(False))), ("B2", count_signals(t, MACRO) >= 1), ("B3", forward & gg & ~pg),
-        ("B4", (count_signals(t, CONDITIONAL) >= 1) & (F.col("gold_type") == "conditional") & F.col("pred_type").isin("positive", "negative")),
-        ("C2", (pred == "neutral") & gold.isin("positive", "negative")), ("C3", (pred == "positive") & gold.isin("negative", "neutral")), ("C4", pg & ~gg & forward),
+        ("A3", a3), ("A4", a4), ("A2", a2), ("A1", (c("__local") >= 3) & ~(a3 | a4 | a2)), ("B1", c("__jargon") >= 2), ("B2", c("__macro") >= 1), ("B3", (c("__forward") >= 1) & gg & ~pg),
+        ("B4", (c("__conditional") >= 1) & (c("gold_type") == "conditional") & c("pred_type").isin("positive", "negative")),
+        ("C2", (pred == "neutral") & gold.isin("positive", "negative")), ("C3", (pred == "positive") & gold.isin("negative", "neutral")), ("C4", pg & ~gg & (c("__forward") >= 1)),
     )
     found = F.array_sort(F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules])))
     wrong = gold.isNotNull() & pred.isNotNull() & (gold != pred)
@@ -61,8 +66,9 @@ def tag_errors(rows: DataFrame, text: str = "text") -> DataFrame:
     """ERR-03: flags, tags joined by '|', and their number."""
     wrong = F.coalesce(F.col("gold") != F.col("pred"), F.lit(False))
     guide = F.coalesce(F.col("gold_guidance") != F.col("pred_guidance"), F.lit(False))
-    out = rows.withColumn("tag_list", tags(text)).withColumn("is_sentiment_error", wrong).withColumn("is_guidance_error", guide)
-    return out.withColumn("is_any_error", F.col("is_sentiment_error") | F.col("is_guidance_error")).withColumn("tags", F.array_join("tag_list", "|")).withColumn("n_tags", F.size("tag_list"))
+    out = signal_counts(rows, text).withColumn("tag_list", tags()).withColumn("is_sentiment_error", wrong).withColumn("is_guidance_error", guide)
+    out = out.withColumn("is_any_error", F.col("is_sentiment_error") | F.col("is_guidance_error")).withColumn("tags", F.array_join("tag_list", "|")).withColumn("n_tags", F.size("tag_list"))
+    return out.select(*rows.columns, "tag_list", "is_sentiment_error", "is_guidance_error", "is_any_error", "tags", "n_tags")
 
 
 def tag_counts(tagged: DataFrame) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpus, labels, market
+
+QUERIES: dict = corpus.QUERIES | labels.QUERIES | market.QUERIES
+SQL: dict = corpus.SQL | labels.SQL | market.SQL
