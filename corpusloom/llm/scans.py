@@ -34,7 +34,7 @@ from .boosting import BoostedTrees
 from .common import map_arrow, stash
 from .text_form import consistent
 
-FIT_WORDS, FIT_TEXTS, Q = 2_500, 160, 3
+FIT_WORDS, FIT_TEXTS, Q = 3_000, 400, 3
 # What optical recognition reads in place of what is printed.
 CONFUSIONS = {
     "l": ("1", "i", "t"), "i": ("1", "l", "j"), "o": ("0", "a", "c"), "s": ("5", "a"), "g": ("9", "q"), "b": ("6", "h"), "e": ("c", "o"), "c": ("e", "o"), "a": ("o", "e", "s"), "t": ("f", "l"), "f": ("t",), "h": ("b", "li"), "u": ("ii", "v", "n"),
@@ -72,12 +72,13 @@ def word_of(token: str) -> str:
     return token.strip(_STRIP).lower()
 
 
-def words_in(line: str) -> list[str]:
-    out = []
-    for t in line.split():
-        w = word_of(t)
+def words_of_tokens(tokens: Counter) -> Counter:
+    """Counts by word from counts by token in lower case; tokens are stripped once each, not once per occurrence."""
+    out: Counter = Counter()
+    for t, n in tokens.items():
+        w = t.strip(_STRIP)
         if w and not _PLAIN_NUMBER.fullmatch(w):
-            out.append(w)
+            out[w] += n
     return out
 
 
@@ -134,22 +135,22 @@ def count_tables(texts: DataFrame) -> DataFrame:
     """(kind, a, b, clean, paged): w words, j joined words, p pairs around a hyphen, h repeated short lines; summed over all texts."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        clean, paged, joined, pairs, heads = Counter(), Counter(), Counter(), Counter(), Counter()
+        raw_clean, raw_paged, joined, pairs, heads = Counter(), Counter(), Counter(), Counter(), Counter()
         for t in batch.column(0).to_pylist():
             lines = lines_of(t)
             if not page_layout(lines):
-                clean.update(words_in(t if t.isascii() else "\n".join(lines)))
+                raw_clean.update((t if t.isascii() else "\n".join(lines)).lower().split())
                 continue
             reps = repeats(lines)
-            rest = set()
+            low = [l.lower().split() for l in lines]
             for k, j, a, b in hyphen_pairs(lines, reps):
                 pairs[a, b] += 1
                 joined[a + b] += 1
-                rest.add(j)
-            for k, l in enumerate(lines):
-                ws = words_in(l)
-                paged.update(ws[k in rest : len(ws) - (l.rstrip()[-1:] in ("-", "¬"))])
+                low[j] = low[j][1:]
+            for l, ws in zip(lines, low):
+                raw_paged.update(ws[:-1] if ws and l.rstrip()[-1:] in "-¬" else ws)
             heads.update({key_of(l) for l, r in zip(lines, reps) if r > 1 and len(key_of(l)) > 3 and l.rstrip()[-1:] not in (".", ",", ";", "-")})
+        clean, paged = words_of_tokens(raw_clean), words_of_tokens(raw_paged)
         rows = [("w", w, "", clean[w], paged[w]) for w in clean.keys() | paged.keys()]
         rows += [("j", w, "", 0, n) for w, n in joined.items()] + [("p", a, b, 0, n) for (a, b), n in pairs.items()] + [("h", h, "", 0, n) for h, n in heads.items()]
         cols = list(zip(*rows)) or [()] * 5
@@ -356,9 +357,8 @@ def judge_joins(counts: DataFrame, fixes: DataFrame) -> DataFrame:
 # --- furniture -------------------------------------------------------------------------------------------------
 
 
-def line_features(lines: list[str], heads: dict[str, int]) -> tuple[list[int], np.ndarray]:
+def line_features(lines: list[str], heads: dict[str, int], reps: list[int]) -> tuple[list[int], list[list[float]]]:
     """(line numbers, features) of the lines that are not blank."""
-    reps = repeats(lines)
     values = [page_value(l) for l in lines]
     full = [k for k, l in enumerate(lines) if l.strip()]
     place = {k: i for i, k in enumerate(full)}
@@ -390,7 +390,7 @@ def line_features(lines: list[str], heads: dict[str, int]) -> tuple[list[int], n
             float(before[-1:] not in ".!?:" and bool(before)), float(after[:1].islower()), float(i == 0), float(i + 1 == len(full)), float(len(lines[k]) - len(lines[k].lstrip())), float(len(words)),
             float(any(values[full[j]] for j in (i - 1, i + 1) if 0 <= j < len(full))), float(sum(ch.isdigit() for ch in l) / len(l)),
         ])
-    return full, np.array(rows, dtype=float).reshape(len(rows), 23)
+    return full, rows
 
 
 def lay_out(text: str, name: str, rnd: random.Random) -> list[tuple[str, int]]:
@@ -450,8 +450,8 @@ def train_furniture(samples: list[tuple[str, str]], seed: int = 6) -> tuple[Boos
         laid = lay_out(text[:6000], name, rnd)
         lines = [l for l, _ in laid]
         heads = {key_of(l): rnd.choice([0, 0, 2, 9, 60]) for l, k in laid if k == 1}
-        full, x = line_features(lines, heads)
-        xs.append(x)
+        full, x = line_features(lines, heads, repeats(lines))
+        xs.append(np.array(x, dtype=float).reshape(len(x), 23))
         ys.append(np.array([laid[k][1] for k in full], dtype=int))
     x, y = np.concatenate(xs), np.concatenate(ys)
     return BoostedTrees().fit(x, (y == 1).astype(float)), BoostedTrees().fit(x, (y == 2).astype(float))
@@ -466,17 +466,28 @@ class Repairer:
     def __init__(self, fixes: dict[str, str], broken: set[tuple[str, str]], heads: dict[str, int], header: BoostedTrees, number: BoostedTrees):
         self.fixes, self.broken, self.heads, self.header, self.number = fixes, broken, heads, header, number
 
-    def judge(self, lines: list[str]) -> tuple[dict[int, set[str]], dict[int, tuple[int, str, str]]]:
-        """Kinds of each spoilt line, and line -> (next line, part, rest) of the words broken at its end."""
-        kinds: dict[int, set[str]] = {}
-        full, x = line_features(lines, self.heads)
+    def judge_all(self, texts: list[list[str]]) -> list[tuple[dict[int, set[str]], dict[int, tuple[int, str, str]]]]:
+        """For each text, the kinds of its spoilt lines and line -> (next line, part, rest) of the words broken at its end.
+
+        The classifiers see the lines of all texts at once.
+        """
+        reps = [repeats(lines) for lines in texts]
+        found = [line_features(lines, self.heads, r) for lines, r in zip(texts, reps)]
+        x = np.array([row for _, rows in found for row in rows], dtype=float).reshape(-1, 23)
         h, p = self.header.predict(x), self.number.predict(x)
-        for k, a, b in zip(full, h, p):
+        out, at = [], 0
+        for lines, r, (full, rows) in zip(texts, reps, found):
+            out.append(self._judge(lines, r, full, h[at : at + len(rows)], p[at : at + len(rows)]))
+            at += len(rows)
+        return out
+
+    def _judge(self, lines: list[str], reps: list[int], full: list[int], h: np.ndarray, p: np.ndarray):
+        kinds: dict[int, set[str]] = {}
+        for k, a, b in zip(full, h.tolist(), p.tolist()):
             if b >= 0.5 and page_value(lines[k]):
                 kinds[k] = {"page_number"}
             elif a >= 0.5 and _LETTER.search(lines[k]):
                 kinds[k] = {"header"}
-        reps = repeats(lines)
         joins = {}
         edge: set[tuple[int, bool]] = set()
         for k, j, a, b in hyphen_pairs(lines, reps):
@@ -512,12 +523,15 @@ class Repairer:
         new = f.upper() if old.isupper() and len(old) > 1 else f[0].upper() + f[1:] if old[0].isupper() else f
         return token[:at] + new + token[at + len(w) :]
 
-    def repair(self, text: str) -> str:
+    def repair_all(self, texts: list[str | None]) -> list[str | None]:
+        out = list(texts)
+        laid = [(i, lines) for i, t in enumerate(texts) if t and page_layout(lines := lines_of(t))]
+        for (i, lines), (kinds, joins) in zip(laid, self.judge_all([l for _, l in laid])):
+            out[i] = self._repair(lines, kinds, joins)
+        return out
+
+    def _repair(self, lines: list[str], kinds: dict[int, set[str]], joins: dict[int, tuple[int, str, str]]) -> str:
         """Continuous paragraphs without furniture; rows of figures keep their lines."""
-        lines = lines_of(text)
-        if not page_layout(lines):
-            return text
-        kinds, joins = self.judge(lines)
         out: list[str] = []
         gap, taken = False, {}
         for k, l in enumerate(lines):
@@ -563,8 +577,10 @@ def fit_repairer(texts: DataFrame, names: DataFrame | None = None, max_fixes: in
     for df, most in ((fixes, max_fixes), (broken, max_fixes), (heads, max_heads)):
         if (n := df.count()) > most:
             raise ValueError(f"{n} decisions exceed the bound of {most} for a broadcast")
-    sample = texts.filter(F.length("text") > 600).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(6 * FIT_TEXTS).collect()
-    clean = [r[0] for r in sample if not page_layout(r[0].split("\n"))][:FIT_TEXTS]
+    hashed = texts.filter(F.length("text") > 600).withColumn("h", F.xxhash64("text"))
+    low = hashed.select("h").distinct().orderBy("h").limit(4 * FIT_TEXTS).agg(F.max("h")).first()[0]
+    sample = sorted({r[0] for r in hashed.filter(F.col("h") <= F.lit(low)).select("text", "h").distinct().select(F.substring("text", 1, 6_000)).collect()}) if low is not None else []
+    clean = [t for t in sample if not page_layout(t.split("\n"))][:FIT_TEXTS]
     titles = [r[0] for r in names.filter("name is not null").select("name").distinct().orderBy("name").limit(200).collect()] if names is not None else []
     rnd = random.Random(8)
     header, number = train_furniture([(consistent(t), rnd.choice(titles or ["Example Holdings Plc"])) for t in clean])
@@ -577,11 +593,8 @@ def spoilt_lines(texts: DataFrame, repairer: Repairer) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for src, rec, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = t.split("\n")
-            if not page_layout(raw):
-                continue
-            kinds, _ = shared.value.judge(lines_of(t))
+        laid = [(src, rec, lines) for src, rec, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if page_layout(t.split("\n")) and page_layout(lines := lines_of(t))]
+        for (src, rec, _), (kinds, _) in zip(laid, shared.value.judge_all([l for _, _, l in laid])):
             for k, found in kinds.items():
                 for kind in found:
                     for col, v in zip(out, (src, rec, k, kind)):
@@ -598,7 +611,7 @@ def repair_texts(texts: DataFrame, repairer: Repairer, text: str = "text") -> Da
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(batch.columns)
-        cols[at] = pa.array([shared.value.repair(t) if t else t for t in cols[at].to_pylist()], pa.string())
+        cols[at] = pa.array(shared.value.repair_all(cols[at].to_pylist()), pa.string())
         return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return map_arrow(texts, fn, texts.schema)
