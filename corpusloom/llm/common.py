@@ -65,13 +65,9 @@ def ranked(df: DataFrame, group: list[str], order: list, out: str, salt_on: str,
     sizes = df.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    cond = [df[g].eqNullSafe(sizes[g]) for g in group] + [df["__b"] == sizes["__b"]]
-    joined = df.join(sizes, cond[0] if len(cond) == 1 else _all(cond))
-    return joined.select(*[df[c] for c in df.columns if c not in ("__b", "__r")], (F.col("__off") + F.col("__r")).cast("long").alias(out))
-
-
-def _all(conds: list):
-    acc = conds[0]
-    for c in conds[1:]:
-        acc = acc & c
-    return acc
+    sizes = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__sb"), "__off")
+    same = F.col("__b") == F.col("__sb")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    keep = [c for c in df.columns if c not in ("__b", "__r")]
+    return df.join(sizes, same).select(*keep, (F.col("__off") + F.col("__r")).cast("long").alias(out))
