@@ -235,9 +235,10 @@ def spoil(word: str, rnd: random.Random, times: int) -> str:
 
 
 def train_ranker(lexicon: list[tuple[str, int, int]], seed: int = 3) -> BoostedTrees:
-    """From words of the lexicon: spoilt copies with their origin, and words taken out of it, which have none."""
+    """From words of the lexicon: spoilt copies with their origin; words taken out of it and other inflections, which have none."""
     rnd = random.Random(seed)
     alpha = [(w, a, b) for w, a, b in lexicon if w.replace("-", "").replace("'", "").isalpha() and len(w) > 2]
+    known = {w for w, _, _ in alpha}
     index: dict[str, list[int]] = {}
     for k, (w, _, _) in enumerate(alpha):
         for g in grams_of(w):
@@ -245,14 +246,16 @@ def train_ranker(lexicon: list[tuple[str, int, int]], seed: int = 3) -> BoostedT
     x, y = [], []
     for k, (w, a, b) in enumerate(alpha):
         freq = a + b
-        forms = [(spoil(w, rnd, 1), k), (spoil(w, rnd, 1 + (rnd.random() < 0.25)), k), (w, None)]
+        suffix = rnd.choice(("s", "ed", "ing", "ly", "er", "d", "al"))
+        other = w[: -len(suffix)] if w.endswith(suffix) and len(w) > len(suffix) + 3 else w + suffix
+        forms = [(spoil(w, rnd, 1), k), (spoil(w, rnd, 1 + (rnd.random() < 0.25)), k), (w, None), *([(other, None)] if other not in known else [])]
         for s, origin in forms:
             if origin is not None and s == w:
                 continue
             shared = Counter(j for g in grams_of(s) for j in index.get(g, ()))
             s_paged = max(1, int(freq * rnd.choice([0.0005, 0.002, 0.01, 0.03]))) if origin is not None else max(1, b or int(freq * rnd.choice([0.01, 0.1, 1.0])))
             s_clean = 0 if origin is not None or rnd.random() < 0.7 else rnd.randint(1, 3)
-            near = sorted((j for j, n in shared.items() if (origin is not None or j != k) and n >= _least_shared(s, alpha[j][0])), key=lambda j: (-shared[j], j))
+            near = sorted((j for j, n in shared.items() if (origin is not None or j != k or s != w) and n >= _least_shared(s, alpha[j][0])), key=lambda j: (-shared[j], j))
             for j in near[:6] + ([k] if origin is not None and k in shared and k not in near[:6] else []):
                 x.append(pair_features(s, s_clean, s_paged, *alpha[j][:1], alpha[j][1], alpha[j][2]))
                 y.append(float(j == origin))
@@ -297,7 +300,7 @@ def corrections(counts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), batch.column(4)], names=["s", "c", "p", "c_clean"])
 
     scored = map_arrow(near.select("s", "c", "s_clean", "s_paged", "c_clean", "c_paged"), score, "s string, c string, p double, c_clean long").filter("p >= 0.5")
-    return scored.groupBy("s").agg(F.max_by("c", F.struct("p", "c_clean", "c")).alias("fixed")).withColumnRenamed("s", "word")
+    return scored.groupBy("s").agg(F.max_by("c", F.struct(F.round("p", 1), "c_clean", "c")).alias("fixed")).withColumnRenamed("s", "word")
 
 
 # --- line pairs ------------------------------------------------------------------------------------------------
