@@ -28,7 +28,7 @@ from .text_form import consistent
 SCHEMES = {"sentiment": ("positive", "negative", "neutral"), "guidance": ("positive", "negative", "neutral", "conditional", "none")}
 COLUMNS = {"sentiment": "sentiment_label", "guidance": "guidance_type"}
 CODES = {"p": "positive", "n": "negative", "u": "neutral", "c": "conditional"}
-DIMS, FIT_ITEMS, ROUNDS, STEPS, PENALTY = 1 << 12, 20_000, 12, 12, 3.0
+DIMS, FIT_ITEMS, ROUNDS, WARM_UP, STEPS, PENALTY = 1 << 12, 15_000, 9, 3, 12, 0.5
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +59,7 @@ def features_of(text: str | None, dims: int = DIMS) -> list[int]:
 
 
 def build_items(queue: DataFrame, votes: DataFrame, number: DataFrame) -> DataFrame:
-    """(passage_id, task, k, feats, ann, lab), one row per passage and task."""
+    """(passage_id, task, half, feats, ann, lab), one row per passage and task."""
     labels = F.create_map(*[F.lit(x) for t, ls in SCHEMES.items() for i, l in enumerate(ls) for x in (f"{t}/{l}", i)])
     coded = votes.join(number, "annotator").select("passage_id", "task", F.struct("a", labels[F.concat_ws("/", "task", "label")].alias("l")).alias("v"))
     items = coded.groupBy("passage_id", "task").agg(F.sort_array(F.collect_list("v")).alias("v"))  # at most one vote per annotator
@@ -70,27 +70,37 @@ def build_items(queue: DataFrame, votes: DataFrame, number: DataFrame) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.int32()))], names=["passage_id", "feats"])
 
     feats = map_arrow(texts.select("passage_id", "text"), fn, "passage_id string, feats array<int>")
-    return items.join(feats, "passage_id").select("passage_id", "task", "feats", F.col("v.a").alias("ann"), F.col("v.l").alias("lab"))
+    return items.join(feats, "passage_id").select("passage_id", "task", F.pmod(F.xxhash64("passage_id", F.lit(5)), F.lit(2)).alias("half"), "feats", F.col("v.a").alias("ann"), F.col("v.l").alias("lab"))
 
 
 class Model:
-    """Confusion matrices (log) and classifier weights of one task."""
+    """Confusion matrices (log) and classifier weights of one task.
+
+    Items are in two halves, and the prior of an item comes from the classifier of the other half: an item's own votes
+    never come back to it as a prior.
+    """
 
     def __init__(self, n_annotators: int, k: int, dims: int):
         self.k = k
         near = np.full((k, k), 0.3 / max(1, k - 1)) + np.eye(k) * (0.7 - 0.3 / max(1, k - 1))
         self.conf = np.log(np.tile(near, (n_annotators, 1, 1)))
-        self.w = np.zeros((dims + 1, k))
+        self.w = np.zeros((2, dims + 1, k))
 
-    def posterior(self, item: np.ndarray, feat: np.ndarray, n: int, vote_item: np.ndarray, ann: np.ndarray, lab: np.ndarray) -> np.ndarray:
-        """n x k; ``item`` tells the item of each feature, ``vote_item`` of each vote."""
-        z = np.tile(self.w[-1], (n, 1))
+    def scores(self, half: np.ndarray, item: np.ndarray, feat: np.ndarray) -> np.ndarray:
+        """Log priors, n x k, by the weights numbered ``half``; features are scaled to unit length."""
+        n = len(half)
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(item, minlength=n)))
+        z = self.w[half, -1]
         for c in range(self.k):
-            z[:, c] += np.bincount(item, self.w[feat, c], n)
-        z -= np.logaddexp.reduce(z, axis=1, keepdims=True)
+            z[:, c] += scale * np.bincount(item, self.w[half[item], feat, c], n)
+        return z - np.logaddexp.reduce(z, axis=1, keepdims=True)
+
+    def posterior(self, half: np.ndarray, item: np.ndarray, feat: np.ndarray, vote_item: np.ndarray, ann: np.ndarray, lab: np.ndarray) -> np.ndarray:
+        """n x k; ``half`` is the half each item is in, ``item`` tells the item of each feature, ``vote_item`` of each vote."""
+        z = self.scores(1 - half, item, feat)
         like = self.conf[ann, :, lab]
         for c in range(self.k):
-            z[:, c] += np.bincount(vote_item, like[:, c], n)
+            z[:, c] += np.bincount(vote_item, like[:, c], len(half))
         return np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
 
     def set_confusion(self, counts: np.ndarray, strength: float = 3.0) -> None:
@@ -100,21 +110,30 @@ class Model:
         c = counts + prior
         self.conf = np.log(c / c.sum(axis=2, keepdims=True))
 
-    def fit(self, item: np.ndarray, feat: np.ndarray, n: int, q: np.ndarray, steps: int, penalty: float) -> None:
-        """Some steps of Adam on the penalised likelihood of the soft labels ``q``."""
-        m, v = np.zeros_like(self.w), np.zeros_like(self.w)
-        for t in range(1, steps + 1):
-            z = np.tile(self.w[-1], (n, 1))
-            for c in range(self.k):
-                z[:, c] += np.bincount(item, self.w[feat, c], n)
-            p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            r = p - q
-            g = penalty * self.w
-            g[-1] = r.sum(axis=0)
-            for c in range(self.k):
-                g[:-1, c] += np.bincount(feat, r[item, c], len(self.w) - 1)
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    def fit(self, half: np.ndarray, item: np.ndarray, feat: np.ndarray, q: np.ndarray, steps: int, penalty: float) -> None:
+        """Accelerated steps on the penalised likelihood of the soft labels ``q``, each half by itself.
+
+        With features of unit length, half the number of items with a feature bounds its curvature, which sets its step.
+        """
+        d = self.w.shape[1] - 1
+        n = len(half)
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(item, minlength=n)))
+        bound = np.stack([0.5 * np.bincount(feat[half[item] == h], minlength=d) + penalty for h in (0, 1)])
+        ahead, t = self.w.copy(), 1.0
+        for _ in range(steps):
+            old, self.w = self.w, ahead
+            r = np.exp(self.scores(half, item, feat)) - q
+            new = ahead.copy()
+            for h in (0, 1):
+                mine, f = half == h, half[item] == h
+                if not mine.any():
+                    continue
+                new[h, -1] -= r[mine].sum(axis=0) / (0.5 * mine.sum())
+                for c in range(self.k):
+                    g = np.bincount(feat[f], (r[:, c] * scale)[item[f]], d) + penalty * ahead[h, :-1, c]
+                    new[h, :-1, c] -= g / bound[h]
+            t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            self.w, ahead, t = new, new + (t - 1) / t_new * (new - old), t_new
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +146,7 @@ def _arrays(batch: pa.RecordBatch, at: list[int]):
     part = batch.take(pa.array(at))
     item, feat = _flat(part.column("feats").to_pylist())
     vote_item, ann = _flat(part.column("ann").to_pylist())
-    return part, item, feat, vote_item, ann, _flat(part.column("lab").to_pylist())[1]
+    return part, (part.column("half").to_numpy(), item, feat, vote_item, ann, _flat(part.column("lab").to_pylist())[1])
 
 
 def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_ITEMS, max_annotators: int = 200_000, tol: float = 1e-4):
@@ -142,14 +161,14 @@ def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_I
     models = {t: Model(len(names), len(ls), DIMS) for t, ls in SCHEMES.items()}
     samples = {}
     for t in SCHEMES:
-        rows = items.filter(F.col("task") == t).orderBy(F.xxhash64("passage_id"), "passage_id").limit(fit_items).select("feats", "ann", "lab").collect()
-        item, feat = _flat([r[0] for r in rows])
-        vi, ann = _flat([r[1] for r in rows])
-        samples[t] = (item, feat, len(rows), vi, ann, _flat([r[2] for r in rows])[1])
-    for _ in range(rounds):
+        rows = items.filter(F.col("task") == t).orderBy(F.xxhash64("passage_id"), "passage_id").limit(fit_items).select("half", "feats", "ann", "lab").collect()
+        item, feat = _flat([r[1] for r in rows])
+        vi, ann = _flat([r[2] for r in rows])
+        samples[t] = (np.array([r[0] for r in rows], dtype=np.int64), item, feat, vi, ann, _flat([r[3] for r in rows])[1])
+    for i in range(rounds):
         for t, model in models.items():
-            if samples[t][2]:
-                model.fit(samples[t][0], samples[t][1], samples[t][2], model.posterior(*samples[t]), STEPS, PENALTY)
+            if len(samples[t][0]) and i >= WARM_UP:
+                model.fit(*samples[t][:3], model.posterior(*samples[t]), STEPS, PENALTY)
         counts = _confusion_counts(items, models)
         moved = 0.0
         for t, model in models.items():
@@ -159,7 +178,7 @@ def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_I
             old = model.conf
             model.set_confusion(c)
             moved = max(moved, float(np.abs(np.exp(old) - np.exp(model.conf)).max(initial=0.0)))
-        if moved < tol:
+        if moved < tol and i > WARM_UP:
             break
     return items, models, names
 
@@ -175,8 +194,9 @@ def _confusion_counts(items: DataFrame, models: dict[str, Model]) -> dict[str, l
             at = [i for i, x in enumerate(tasks) if x == t]
             if not at:
                 continue
-            _, item, feat, vi, ann, lab = _arrays(batch, at)
-            q = model.posterior(item, feat, len(at), vi, ann, lab)
+            _, data = _arrays(batch, at)
+            vi, ann, lab = data[3:]
+            q = model.posterior(*data)
             k = model.k
             for c in range(k):
                 sums = np.bincount(ann * k + lab, q[vi, c], len(model.conf) * k)
@@ -211,8 +231,9 @@ def consensus(queue: DataFrame, min_annotators: int = 3, **fit) -> tuple[DataFra
             at = [i for i, x in enumerate(tasks) if x == t]
             if not at:
                 continue
-            part, item, feat, vi, ann, lab = _arrays(batch, at)
-            q = model.posterior(item, feat, len(at), vi, ann, lab)
+            part, data = _arrays(batch, at)
+            vi, lab = data[3], data[5]
+            q = model.posterior(*data)
             best = q.argmax(axis=1)
             n = np.bincount(vi, minlength=len(at))
             same = np.bincount(vi, (lab == best[vi]).astype(float), len(at))
