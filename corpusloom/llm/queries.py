@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import consensus, leakage, packing, personal, sampling, scans, site_lines, splits, splitting, text_form
+from ..plans import sqltext as S
 from .common import read
 
 
@@ -129,4 +130,16 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("p") and n[1].isdigit()}
-SQL: dict[str, str] = {}
+
+_KEY = lambda x: f"regexp_replace(regexp_replace(lower({S.strip(x)}), '[{S.WS}]*&[{S.WS}]*', ' and ', 'g'), '[{S.WS}_-]+', ' ', 'g')"
+_NAME = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '\\b(?:plc|ltd|limited|incorporated|inc|company|co|nigeria|nig)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH k AS (SELECT text_path, nullif({_KEY("sector")}, '') AS s, nullif(regexp_extract(lower({S.strip("year")}), '^(?:fy|f\\.y\\.)?[{S.WS}/_-]*((?:19|20)[0-9][0-9])(?:\\.0+)?$', 1), '') AS y, nullif(regexp_replace(lower({S.strip("doc_type")}), '[{S.WS}_-]+', '_', 'g'), '') AS t FROM corpus_index WHERE text_path IS NOT NULL),
+d AS (SELECT text_path, min(s) AS s, min(y) AS y, min(t) AS t FROM k GROUP BY text_path), c AS (SELECT s, y, t, count(*) AS n FROM d GROUP BY ALL), total AS (SELECT 0.3 * count(*) AS n FROM d)
+SELECT sector, year, doc_type FROM target_shares x CROSS JOIN total LEFT JOIN c ON c.s = {_KEY("x.sector")} AND c.y = x.year AND c.t = x.doc_type WHERE coalesce(c.n, 0) + 1e-9 < greatest(x.min_count, x.share * total.n)""",
+    "p5_found": """WITH l AS (SELECT doc_id, ticker, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE ticker IS NOT NULL),
+k AS (SELECT doc_id, ticker, line_no, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS key FROM l), n AS (SELECT ticker, count(*) AS nd FROM documents WHERE ticker IS NOT NULL AND text IS NOT NULL GROUP BY ticker),
+r AS (SELECT ticker, key FROM k JOIN n USING (ticker) WHERE key <> '' GROUP BY ticker, key, nd HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) + 1e-9 >= 0.2 * nd) SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN r USING (ticker, key)""",
+    "p6_found": f"SELECT DISTINCT row_id FROM annotation_queue WHERE {S.words('text')} > 400",
+    "p7_found": f"SELECT a.row_id, c.ticker FROM annotation_queue a JOIN companies c ON {_NAME('a.company')} = {_NAME('c.name')} WHERE a.ticker IS DISTINCT FROM c.ticker",
+}

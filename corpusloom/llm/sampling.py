@@ -92,7 +92,7 @@ def sample(index: DataFrame, targets: DataFrame, fraction: float = 0.3, seed: in
     ]
     cells.sort(key=lambda c: tuple(map(str, c["key"])))
     allocate(cells, fraction * total)
-    rows = [(*c["name"], float(c["share"]), int(c["min_count"]), int(c["available"]), float(c["need"]), int(c["quota"]), int(c["passed_in"]), c["available"] < c["need"], *c["key"]) for c in cells]
+    rows = [(*c["name"], float(c["share"]), int(c["min_count"]), int(c["available"]), float(c["need"]), int(c["quota"]), int(c["passed_in"]), c["available"] + 1e-9 < c["need"], *c["key"]) for c in cells]
     report = spark.createDataFrame(rows, "sector string, year string, doc_type string, share double, min_count int, available long, needed double, quota long, passed_in long, short boolean, k0 string, k1 string, k2 string")
     leaf = report.filter("quota > 0").select("k0", "k1", "k2", "quota")
     mine = docs.join(F.broadcast(leaf), F.expr("sector = k0 and year = k1 and doc_type = k2")).drop("k0", "k1", "k2")  # a row per target cell

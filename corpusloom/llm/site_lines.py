@@ -43,7 +43,7 @@ def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     lines = clusters.select("source", "w", "day", F.explode("set").alias("key"))
     counts = lines.groupBy("source", "key").agg(F.sum("w").alias("n_docs"), F.count("*").alias("n_clusters"))
     counts = counts.filter((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters))
-    often = stash(counts.join(totals, "source").filter(F.col("n_docs") >= min_share * F.col("source_docs")), "line-counts")
+    often = stash(counts.join(totals, "source").filter(F.col("n_docs") + 1e-9 >= min_share * F.col("source_docs")), "line-counts")
     lists = _by_source(often)
     dated = clusters.join(lists, "source").select("source", "day", F.explode(F.array_intersect("set", "drop")).alias("key")).distinct()
     dates = dated.groupBy("source", "key").agg(F.count("day").alias("n_dates"))
