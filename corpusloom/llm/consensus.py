@@ -136,17 +136,24 @@ class Model:
             self.w, ahead, t = new, new + (t - 1) / t_new * (new - old), t_new
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(x) for x in lists]
-    flat = np.fromiter((y for x in lists for y in x), dtype=np.int64, count=sum(sizes))
-    return np.repeat(np.arange(len(lists)), sizes), flat
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each value, value) of a column of lists."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    sizes = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _data(part) -> tuple[np.ndarray, ...]:
+    """half, item, feat, vote_item, ann, lab of a batch or table of items."""
+    item, feat = _flat(part.column("feats"))
+    vote_item, ann = _flat(part.column("ann"))
+    return part.column("half").to_numpy(), item, feat, vote_item, ann, _flat(part.column("lab"))[1]
 
 
 def _arrays(batch: pa.RecordBatch, at: list[int]):
     part = batch.take(pa.array(at))
-    item, feat = _flat(part.column("feats").to_pylist())
-    vote_item, ann = _flat(part.column("ann").to_pylist())
-    return part, (part.column("half").to_numpy(), item, feat, vote_item, ann, _flat(part.column("lab").to_pylist())[1])
+    return part, _data(part)
 
 
 def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_ITEMS, max_annotators: int = 200_000, tol: float = 1e-4):
@@ -161,10 +168,9 @@ def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_I
     models = {t: Model(len(names), len(ls), DIMS) for t, ls in SCHEMES.items()}
     samples = {}
     for t in SCHEMES:
-        rows = items.filter(F.col("task") == t).orderBy(F.xxhash64("passage_id"), "passage_id").limit(fit_items).select("half", "feats", "ann", "lab").collect()
-        item, feat = _flat([r[1] for r in rows])
-        vi, ann = _flat([r[2] for r in rows])
-        samples[t] = (np.array([r[0] for r in rows], dtype=np.int64), item, feat, vi, ann, _flat([r[3] for r in rows])[1])
+        mine = items.filter(F.col("task") == t).withColumn("h", F.xxhash64("passage_id"))
+        low = mine.select("h").orderBy("h").limit(fit_items).agg(F.max("h")).first()[0]  # only hashes are sorted
+        samples[t] = _data(mine.filter(F.col("h") <= F.lit(low)).select("half", "feats", "ann", "lab").toArrow())
     for i in range(rounds):
         for t, model in models.items():
             if len(samples[t][0]) and i >= WARM_UP:
