@@ -10,7 +10,7 @@ hyphen at a line end, and every short line that comes back within a text. From t
   lexicon;
 * lines are judged as header, page number or text by classifiers trained on clean texts laid out in pages.
 
-A second pass applies the decisions to every text in page layout. The classifiers are fitted on bounded samples
+A second pass applies the decisions to every text, or stretch of a text, in page layout. The classifiers are fitted on bounded samples
 (``FIT_WORDS`` words, ``FIT_TEXTS`` texts); all counts, candidates and decisions cover everything.
 
 Defined results: null and empty texts have no lines and stay as they are; texts without page layout stay as they are;
@@ -35,6 +35,7 @@ from .common import map_arrow, stash
 from .text_form import consistent
 
 FIT_WORDS, FIT_TEXTS, Q = 3_000, 400, 3
+LONG_LINE = 120
 # What optical recognition reads in place of what is printed.
 CONFUSIONS = {
     "l": ("1", "i", "t"), "i": ("1", "l", "j"), "o": ("0", "a", "c"), "s": ("5", "a"), "g": ("9", "q"), "b": ("6", "h"), "e": ("c", "o"), "c": ("e", "o"), "a": ("o", "e", "s"), "t": ("f", "l"), "f": ("t",), "h": ("b", "li"), "u": ("ii", "v", "n"),
@@ -51,10 +52,76 @@ _NUMERIC = re.compile(r"[\s\d.,%()+-]*\d[\s\d.,%()+-]*$")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
-def page_layout(lines: list[str]) -> bool:
-    """Whether a text is laid out in short lines, as scanned pages are."""
+def _breaks(a: str, b: str) -> bool:
+    """Whether line ``a`` ends in a hyphen after a letter and ``b`` goes on in lower case."""
+    a = a.rstrip()
+    return a[-1:] in ("-", "¬", "\xad") and a[-2:-1].isalpha() and b.lstrip()[:1].islower()
+
+
+def _wide(lines: list[str]) -> bool:
+    full = sorted(len(l) for l in lines)
+    return bool(full) and full[len(full) // 2] >= 24
+
+
+def _titled(line: str) -> bool:
+    words = _LETTERS.findall(line)
+    return sum(w[0].isupper() for w in words) * 5 >= 2 * len(words) > 0
+
+
+def _short_lines(lines: list[str], after: str = "") -> tuple[bool, bool, bool]:
+    """(wide enough lines, signs of pages, lines that run on) of a stretch of short lines; page numbers and repeated short lines don't count for the width."""
+    full = [l for l in lines if l.strip()]
+    keys = [key_of(l) for l in full]
+    seen = Counter(k for k in keys if len(k) > 3)
+    values = [page_value(l) for l in full]
+    core = [l for l, k, v in zip(full, keys, values) if not v and seen[k] < 2]
+    found = {v for v in values if v}
+    numbered = any(s not in ("dFalseFalse", "rFalseFalse") for _, s in found) or any((v + 1, s) in found for v, s in found)
+    on = sum(a.rstrip()[-1:] not in ".!?:" and b.lstrip()[:1].islower() for a, b in zip(core, core[1:]))
+    headed = any(seen[k] > 1 and _titled(l) for l, k in zip(full, keys))
+    signs = (len(full) > 1 or bool(after)) and (numbered or any(_breaks(a, b) for a, b in zip(core, [*core[1:], after])) or headed and len(full) >= 6 and _wide(core))
+    return len(full) >= 6 and (_wide(full) or _wide(core)), signs, on * 4 >= len(core) > 0
+
+
+def paged_lines(lines: list[str]) -> list[int]:
+    """The numbers of the lines that are laid out as in scanned pages.
+
+    A text without long lines is judged whole. In one with long lines each stretch of short lines is judged; if such stretches
+    make up half of the text, it is all pages, otherwise only the stretches with page numbers, headers or broken words are.
+    """
     full = [len(l) for l in lines if l.strip()]
-    return len(full) >= 6 and max(full) <= 120 and sorted(full)[len(full) // 2] >= 24
+    if not full:
+        return []
+    if max(full) <= LONG_LINE:
+        if len(full) >= 6 and sorted(full)[len(full) // 2] >= 24:
+            return list(range(len(lines)))
+        wide, signs, _ = _short_lines(lines)
+        return list(range(len(lines))) if wide or signs else []
+    size, pages, lo = 0, [], 0
+    for hi, l in enumerate([*lines, None]):
+        if l is not None and (len(l) <= LONG_LINE or not l.strip()):
+            continue
+        a, b = lo, hi
+        while a < b and not lines[a].strip():
+            a += 1
+        while b > a and not lines[b - 1].strip():
+            b -= 1
+        lo = hi + 1
+        if a == b:
+            continue
+        wide, signs, on = _short_lines(lines[a:b], l or "")
+        if signs or (wide and on):
+            size += sum(len(lines[k]) for k in range(a, b))
+        if signs:
+            pages += range(a, b)
+            if l is not None and _breaks(lines[b - 1], l):
+                pages += range(b, hi + 1)
+    return list(range(len(lines))) if 2 * size >= sum(full) else pages
+
+
+def page_layout(lines: list[str]) -> bool:
+    """Whether a text is laid out in short lines, as scanned pages are, in whole or in part."""
+    return bool(paged_lines(lines))
 
 
 def lines_of(text: str) -> list[str]:
@@ -138,9 +205,14 @@ def count_tables(texts: DataFrame) -> DataFrame:
         raw_clean, raw_paged, joined, pairs, heads = Counter(), Counter(), Counter(), Counter(), Counter()
         for t in batch.column(0).to_pylist():
             lines = lines_of(t)
-            if not page_layout(lines):
+            at = paged_lines(lines)
+            if not at:
                 raw_clean.update((t if t.isascii() else "\n".join(lines)).lower().split())
                 continue
+            if len(at) < len(lines):
+                paged = set(at)
+                raw_clean.update("\n".join(l for k, l in enumerate(lines) if k not in paged).lower().split())
+                lines = [lines[k] for k in at]
             reps = repeats(lines)
             low = [l.lower().split() for l in lines]
             for k, j, a, b in hyphen_pairs(lines, reps):
@@ -528,16 +600,29 @@ class Repairer:
 
     def repair_all(self, texts: list[str | None]) -> list[str | None]:
         out = list(texts)
-        laid = [(i, lines) for i, t in enumerate(texts) if t and page_layout(lines := lines_of(t))]
-        for (i, lines), (kinds, joins) in zip(laid, self.judge_all([l for _, l in laid])):
-            out[i] = self._repair(lines, kinds, joins)
+        laid = [(i, lines, at) for i, t in enumerate(texts) if t and (at := paged_lines(lines := lines_of(t)))]
+        for (i, lines, at), (kinds, joins) in zip(laid, self.judge_all([[lines[k] for k in at] for _, lines, at in laid])):
+            kinds = {at[k]: found for k, found in kinds.items()}
+            joins = {at[k]: (at[j], a, b) for k, (j, a, b) in joins.items()}
+            if len(at) == len(lines):
+                out[i] = self._repair(lines, kinds, joins, at, {})
+                continue
+            raw, new, taken, last = out[i].split("\n"), [], {}, 0
+            cuts = [0, *(n for n in range(1, len(at)) if at[n] > at[n - 1] + 1), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                new += raw[last : at[a]]
+                last = at[b - 1] + 1
+                if part := self._repair(lines, kinds, joins, at[a:b], taken):
+                    new.append(part)
+            out[i] = "\n".join(new + raw[last:])
         return out
 
-    def _repair(self, lines: list[str], kinds: dict[int, set[str]], joins: dict[int, tuple[int, str, str]]) -> str:
-        """Continuous paragraphs without furniture; rows of figures keep their lines."""
+    def _repair(self, lines: list[str], kinds: dict[int, set[str]], joins: dict[int, tuple[int, str, str]], at: list[int], taken: dict[int, bool]) -> str:
+        """Continuous paragraphs of the lines ``at`` without furniture; rows of figures keep their lines. ``taken``: lines whose first word was joined to another."""
         out: list[str] = []
-        gap, taken = False, {}
-        for k, l in enumerate(lines):
+        gap = False
+        for k in at:
+            l = lines[k]
             if kinds.get(k, set()) & {"header", "page_number"}:
                 continue
             if not l.strip():
@@ -596,11 +681,11 @@ def spoilt_lines(texts: DataFrame, repairer: Repairer) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        laid = [(src, rec, lines) for src, rec, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if page_layout(t.split("\n")) and page_layout(lines := lines_of(t))]
-        for (src, rec, _), (kinds, _) in zip(laid, shared.value.judge_all([l for _, _, l in laid])):
+        laid = [(src, rec, at, lines) for src, rec, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if (at := paged_lines(lines := lines_of(t)))]
+        for (src, rec, at, _), (kinds, _) in zip(laid, shared.value.judge_all([[lines[k] for k in at] for _, _, at, lines in laid])):
             for k, found in kinds.items():
                 for kind in found:
-                    for col, v in zip(out, (src, rec, k, kind)):
+                    for col, v in zip(out, (src, rec, at[k], kind)):
                         col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.string(), pa.int64(), pa.int32(), pa.string()])], names=["src", "rec_id", "line_no", "kind"])
 

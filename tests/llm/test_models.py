@@ -121,6 +121,36 @@ def test_scan_repair(spark):
     assert scans.spoilt_lines(df.limit(0), empty).count() == 0
 
 
+def test_pages_by_stretches():
+    page = ["Zandofa Petroleum Plc", "Against this bockdrop, premium income more than doubled in 34 of our", "branches, while a well-funded balance sheet played a sma-", "Page 35", "Zandofa Petroleum Plc", "ller part; the team delivered better gross earnings.", "Page 36", "Zandofa Petroleum Plc", "Page 37"]
+    assert scans.paged_lines(page) == list(range(9))  # short furniture outnumbers the text
+    long = "A clean line of a text that is stored with one paragraph in each line, " * 12
+    body = ["Premium income more than doubled in 34 of our branches, in", "spite of changes in the consolidation perimeter, and cement", "despatches improved from one quarter to the next one, while"]
+    wrapped = body + ["a sound balance sheet played a smaller part in it than the", "team that delivered better gross earnings with fewer sites", "than the board had asked for in the report of last year."]
+    assert scans.paged_lines([*wrapped, "x" * 121]) == list(range(7))  # one long line
+    assert scans.paged_lines([long, *page, "", long]) == list(range(1, 10))
+    assert scans.paged_lines([long, *wrapped, long]) == [] and scans.paged_lines([long, "Follow us", "More news", long]) == [] and scans.paged_lines(["one line"]) == scans.paged_lines([""]) == []
+
+
+def test_scan_with_a_long_line_and_in_part(spark):
+    texts, spoilt = _scan_corpus()
+    first, other, third = list(spoilt)[:3]
+    long = texts[1].replace("\n", " ")
+    n = texts[first].count("\n") + 1
+    rows = [("documents", i, t) for i, t in enumerate(texts)]
+    rows += [("documents", 700, texts[first] + "\n" + "y" * 121), ("documents", 701, f"{long}\n\n{texts[other]}\n{long}  {long}")]
+    df = spark.createDataFrame(rows, "src string, rec_id long, text string")
+    rep = scans.fit_repairer(df)
+    got: dict = {}
+    for r in scans.spoilt_lines(df, rep).collect():
+        got.setdefault(r["rec_id"], set()).add((r["line_no"], r["kind"]))
+    want = lambda i, by: {(k + by, x) for k, xs in spoilt[i].items() for x in xs}
+    assert len(got[700] & want(first, 0)) > 0.85 * len(want(first, 0)) and all(k <= n for k, _ in got[700])
+    assert len(got[701] & want(other, 2)) > 0.85 * len(want(other, 2))
+    out = {r["rec_id"]: r["text"] for r in scans.repair_texts(df, rep).collect()}
+    assert out[701].startswith(long + "\n\n") and out[701].endswith(f"\n{long}  {long}") and "\n- 1 -" not in out[701]
+
+
 def test_boosting_learns_a_rule():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(600, 3))
