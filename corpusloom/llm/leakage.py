@@ -2,9 +2,9 @@
 
 The test items become a hash set of word n-grams, which is broadcast (its size is checked; a set beyond the
 bound is cut into blocks that are scanned one after another). Each document's words are turned into hashes of
-sliding windows by numpy; a window in the set is a seed, and every seed is verified word by word: from it the match
-is extended over changed, missing and added words, and the best stretch must span the whole item or
-``min_words`` words with at most one change in ``per_change`` words.
+sliding windows by numpy; a window in the set is a seed, and every seed is verified word by word: from it an exact
+alignment counts changed, missing and added words, and the best stretch must span the whole item or
+``min_words`` words of it with at most one change in ``per_change`` words.
 
 Words are compared in the consistent form of problem 3, in lower case, without punctuation; a hyphen at a line end
 joins the word; page numbers and repeated page headers are left out of the comparison.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,57 +90,48 @@ class Items:
         self.short = [i for i, ws in enumerate(self.words) if 0 < len(ws) < n]
 
 
-def _walk(a, b, i: int, j: int, step: int) -> list[tuple[int, int]]:
-    """Equal runs beyond a seed in one direction: (words changed before the run, words in the run)."""
-    out, changed, run = [], 0, 0
-    la, lb = len(a), len(b)
-    inside = lambda i, j: 0 <= i < la and 0 <= j < lb
-    while inside(i, j):
-        if a[i] == b[j]:
-            run += 1
-            i, j = i + step, j + step
-            continue
-        if run:
-            out.append((changed, run))
-        best = None
-        for cost in (1, 2, 3):
-            for di, dj in [(cost, cost), *[(cost, k) for k in range(cost - 1, -1, -1)], *[(k, cost) for k in range(cost - 1, -1, -1)]]:
-                p, q = i + di * step, j + dj * step
-                good = 0
-                while good < 3 and inside(p + good * step, q + good * step) and a[p + good * step] == b[q + good * step]:
-                    good += 1
-                end = good > 0 and not inside(p + good * step, q + good * step)
-                if good >= 3 or end:
-                    best = (cost, di, dj)
-                    break
-            if best:
-                break
-        if not best:
-            return out
-        changed, run = best[0], 0
-        i, j = i + best[1] * step, j + best[2] * step
-    if run:
-        out.append((changed, run))
+def _reach(a, b, i: int, j: int, step: int, most: int) -> list[int]:
+    """For 0 to ``most`` changes: the words of the item reached beyond a seed in one direction, the last one equal.
+
+    Changed, missing and added words cost one each; for each shift between item and document the furthest word is kept
+    (what lies before it on the same shift takes no more changes).
+    """
+    la, lb = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
+    far: dict[int, int] = {}
+    out, best, todo = [], 0, [(0, 0)]
+    for _ in range(most + 1):
+        new = {}
+        while todo:
+            p, q = todo.pop()
+            d = q - p
+            past = far.get(d, max(0, -d) - 1)
+            if past >= p:
+                continue
+            while p < la and q < lb and a[i + p * step] == b[j + q * step]:
+                p, q = p + 1, q + 1
+            best = max(best, next((x for x in range(p, max(past, best, -d, 0), -1) if a[i + (x - 1) * step] == b[j + (x + d - 1) * step]), 0))
+            far[d] = new[d] = p
+        out.append(best)
+        ahead = ((min(p + by, la, lb - e), e) for d, p in new.items() for e, by in ((d, 1), (d - 1, 1), (d + 1, 0)))
+        todo = [(p, p + e) for p, e in ahead if p >= max(0, -e)]
     return out
 
 
+@lru_cache(maxsize=None)
+def _least_run(words: int, min_words: int, per_change: int) -> int:
+    """The longest equal run that every leaked stretch of an item has: ``k`` changes leave at most ``k + 1`` runs."""
+    need = min(min_words, words)
+    return min(-(-(max(need, k * per_change) - k) // (k + 1)) for k in range(words // per_change + 1))
+
+
 def leaked(item, doc, i: int, j: int, n: int, min_words: int, per_change: int) -> bool:
-    """Whether the match around a seed spans enough words with few enough changes."""
-    left = _walk(item, doc, i - 1, j - 1, -1)
-    right = _walk(item, doc, i + n, j + n, 1)
-    core = n + (left.pop(0)[1] if left and not left[0][0] else 0) + (right.pop(0)[1] if right and not right[0][0] else 0)
-    need = min(min_words, len(item))
-    reach_l, reach_r = [(0, 0)], [(0, 0)]
-    for reach, parts in ((reach_l, left), (reach_r, right)):
-        for changed, run in parts:
-            c, w = reach[-1]
-            reach.append((c + changed, w + changed + run))
-    for cl, wl in reach_l:
-        for cr, wr in reach_r:
-            span, changed = core + wl + wr, cl + cr
-            if span >= need and changed * per_change <= span:
-                return True
-    return False
+    """Whether the match around an equal run of ``n`` words, the longest of it, spans enough words of the item with few enough changes."""
+    most, need = len(item) // per_change, min(min_words, len(item))
+    if n >= need or n < _least_run(len(item), min_words, per_change):
+        return n >= need
+    left = _reach(item, doc, i - 1, j - 1, -1, most)
+    right = _reach(item, doc, i + n, j + n, 1, most)
+    return any(n + wl + wr >= max(need, (cl + cr) * per_change) for cl, wl in enumerate(left) for cr, wr in enumerate(right))
 
 
 def _seeds(items: Items, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,18 +159,25 @@ def matches(items: Items, text: str, min_words: int, per_change: int) -> list[in
         ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
         seeds, at = _seeds(items, ids)
     out: set[int] = set()
-    tried: set[tuple[int, int]] = set()
+    tried: dict[tuple[int, int], int] = {}
     doc = ids.tolist()
     for j, k in zip(seeds.tolist(), at.tolist()):
         h = items.hashes[k]
         while k < len(items.hashes) and items.hashes[k] == h:
             i, p = items.places[k]
             k += 1
-            if i in out or (i, j - p) in tried:
+            if i in out or j < tried.get((i, j - p), 0):
                 continue
-            tried.add((i, j - p))
             item = items.lists[i]
-            if item[p : p + items.n] == doc[j : j + items.n] and leaked(item, doc, p, j, items.n, min_words, per_change):
+            if item[p : p + items.n] != doc[j : j + items.n]:
+                continue
+            lo, hi = 0, items.n
+            while lo < min(p, j) and item[p - lo - 1] == doc[j - lo - 1]:
+                lo += 1
+            while p + hi < len(item) and j + hi < len(doc) and item[p + hi] == doc[j + hi]:
+                hi += 1
+            tried[i, j - p] = j + hi
+            if leaked(item, doc, p - lo, j - lo, lo + hi, min_words, per_change):
                 out.add(i)
     for i in items.short:
         ws = items.words[i]

@@ -206,3 +206,29 @@ def test_leaks(spark):
     assert leakage.find_leaks(docs, tests.limit(0), "doc_id", "item_id").count() == 0
     assert leakage.remove_leaking(docs, got, "doc_id").filter("doc_id = 2").count() == 0
     assert leakage.leak_report(got, tests, "doc_id", "item_id").filter("n_docs = 0").count() == 3
+
+
+@pytest.mark.parametrize("at, leaks", [((14, 16), True), ((14, 17), True), ((14, 18), True), ((14, 15), True), ((9, 14, 16), False)])
+def test_changes_near_each_other_are_counted(at, leaks):
+    item = [f"w{k}" for k in range(30)]
+    doc = [f"x{k}" if k in at else w for k, w in enumerate(item)]
+    assert leakage.matches(leakage.Items([(1, " ".join(item))]), "some words " + " ".join(doc) + " and more", 30, 12) == [0] * leaks
+
+
+def test_a_later_run_of_the_same_shift_is_tried():
+    item = [f"w{k}" for k in range(60)]
+    doc = [f"x{k}" if 10 <= k < 25 else w for k, w in enumerate(item)]
+    assert leakage.matches(leakage.Items([(1, " ".join(item))]), " ".join(doc), 30, 12) == [0]
+
+
+def test_reach_as_by_edit_distance():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b = ([rnd.randrange(3) for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        cost = [[x + y for y in range(len(b) + 1)] for x in range(len(a) + 1)]
+        for x in range(1, len(a) + 1):
+            for y in range(1, len(b) + 1):
+                cost[x][y] = min(cost[x - 1][y] + 1, cost[x][y - 1] + 1, cost[x - 1][y - 1] + (a[x - 1] != b[y - 1]))
+        ends = [(x, cost[x - 1][y - 1]) for x in range(1, len(a) + 1) for y in range(1, len(b) + 1) if a[x - 1] == b[y - 1]]
+        want = [max((x for x, n in ends if n <= c), default=0) for c in range(5)]
+        assert leakage._reach(a, b, 0, 0, 1, 4) == want == leakage._reach(a[::-1], b[::-1], len(a) - 1, len(b) - 1, -1, 4)
