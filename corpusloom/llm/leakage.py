@@ -7,7 +7,7 @@ alignment counts changed, missing and added words, and the best stretch must spa
 ``min_words`` words of it with at most one change in ``per_change`` words.
 
 Words are compared in the consistent form of problem 3, in lower case, without punctuation; a hyphen at a line end
-joins the word; page numbers and repeated page headers are left out of the comparison.
+joins the word; a document is compared as it is and without its page numbers and repeated page headers.
 
 Defined results: null and empty texts leak nothing; an item found several times in a document is one row; repeated
 documents give a row each; an item of fewer than ``min_words`` words leaks only whole; an empty set of items gives
@@ -35,15 +35,21 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def without_furniture(text: str) -> str:
-    """The text without page numbers and without short lines whose letters come back in it."""
+def without_furniture(text: str) -> list[str]:
+    """The text in each form without page furniture, none for a text that has none.
+
+    Left out are page numbers and short lines whose letters come back, in one form all of them, in others only those that come
+    back at least so often; so a passage that is carried twice stays in a form without the headers between its lines.
+    """
     lines = text.split("\n")
     if len(lines) < 12:
-        return text
+        return []
     short = [(k, "".join(_LETTERS.findall(l.lower()))) for k, l in enumerate(lines) if l.strip() and len(l) <= 100]
     seen = Counter(key for _, key in short if key)
-    drop = {k for k, key in short if (seen[key] > 1 if key and len(key) > 4 else len(lines[k]) < 24 and re.fullmatch(r"\W*(?:page\W*)?(?:\d{1,4}|[ivxl]+)(?:\W*(?:of|/)\W*\d{1,4})?\W*", lines[k], re.I))}
-    return "\n".join(l for k, l in enumerate(lines) if k not in drop) if drop else text
+    numbers = {k for k, key in short if not (key and len(key) > 4) and len(lines[k]) < 24 and re.fullmatch(r"\W*(?:page\W*)?(?:\d{1,4}|[ivxl]+)(?:\W*(?:of|/)\W*\d{1,4})?\W*", lines[k], re.I)}
+    often = {k: seen[key] for k, key in short if len(key) > 4 and seen[key] > 1}
+    drops = [numbers | {k for k, n in often.items() if n >= least} for least in [*sorted(set(often.values())), len(lines) + 1]]
+    return ["\n".join(l for k, l in enumerate(lines) if k not in drop) for drop in drops if drop]
 
 
 def quick_words(text: str) -> list[bytes]:
@@ -58,7 +64,7 @@ def quick_words(text: str) -> list[bytes]:
 
 def words_of(text: str) -> list[bytes]:
     """The words of a text without its page furniture."""
-    return quick_words(without_furniture(text)) if text.count("\n") > 8 else quick_words(text)
+    return quick_words(next(iter(without_furniture(text)), text)) if text.count("\n") > 8 else quick_words(text)
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -149,16 +155,22 @@ def _seeds(items: Items, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(items: Items, text: str, min_words: int, per_change: int) -> list[int]:
-    """Positions of the items that leaked into a document."""
+    """Positions of the items that leaked into a document, as it is or in a form without page furniture."""
     get = items.number.get
     ids = np.array([get(w, -1) for w in quick_words(text)], dtype=np.int64)
     seeds, at = _seeds(items, ids)
     if not len(seeds) and not items.short:
         return []
-    if text.count("\n") > 8:
-        ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
-        seeds, at = _seeds(items, ids)
     out: set[int] = set()
+    _verify(items, ids, seeds, at, min_words, per_change, out)
+    for form in without_furniture(text) if text.count("\n") > 8 else ():
+        ids = np.array([get(w, -1) for w in quick_words(form)], dtype=np.int64)
+        _verify(items, ids, *_seeds(items, ids), min_words, per_change, out)
+    return sorted(out)
+
+
+def _verify(items: Items, ids: np.ndarray, seeds: np.ndarray, at: np.ndarray, min_words: int, per_change: int, out: set[int]) -> None:
+    """Adds to ``out`` the items that leaked into the words ``ids``."""
     tried: dict[tuple[int, int], int] = {}
     doc = ids.tolist()
     for j, k in zip(seeds.tolist(), at.tolist()):
@@ -183,7 +195,6 @@ def matches(items: Items, text: str, min_words: int, per_change: int) -> list[in
         ws = items.words[i]
         if len(ids) >= len(ws) and any((ids[k : k + len(ws)] == ws).all() for k in np.nonzero(ids[: len(ids) - len(ws) + 1] == ws[0])[0]):
             out.add(i)
-    return sorted(out)
 
 
 def find_leaks(corpus: DataFrame, tests: DataFrame, id_col: str, item_col: str, text: str = "text", item_text: str = "text", n: int = GRAM, min_words: int = MIN_WORDS, per_change: int = PER_CHANGE, block: int = 20_000) -> DataFrame:

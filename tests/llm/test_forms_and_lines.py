@@ -232,3 +232,18 @@ def test_reach_as_by_edit_distance():
         ends = [(x, cost[x - 1][y - 1]) for x in range(1, len(a) + 1) for y in range(1, len(b) + 1) if a[x - 1] == b[y - 1]]
         want = [max((x for x, n in ends if n <= c), default=0) for c in range(5)]
         assert leakage._reach(a, b, 0, 0, 1, 4) == want == leakage._reach(a[::-1], b[::-1], len(a) - 1, len(b) - 1, -1, 4)
+
+
+@pytest.mark.parametrize("header", [None, "Zenon Bank Plc - Report"])
+def test_a_passage_carried_twice_leaks(header):
+    item = [f"{a}word{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    lines = [" ".join(item[k : k + 8]) for k in range(0, 64, 8)]
+    if header:  # a header that comes back more often than the passage, in other places of each copy
+        first, second = [list(lines) for _ in range(2)]
+        for copy, spots in ((first, (2, 5, 8)), (second, (1, 4, 7))):
+            for k in reversed(spots):
+                copy[k:k] = [header, str(k)]
+        lines = first + ["Some other text stands here"] + second
+    else:
+        lines = lines * 2
+    assert leakage.matches(leakage.Items([(1, " ".join(item))]), "\n".join(lines), 30, 12) == [0]
