@@ -1,8 +1,9 @@
 """Problem 3: one consistent form for text that looks the same.
 
 A transducer over grapheme clusters (a base character with its combining marks and invisible
-characters) rewrites each cluster by the longest match in a mapping that is built and checked for
-conflicts when the module is loaded. What is mapped: full-width and half-width forms, Latin
+characters) rewrites each cluster by the longest match in a mapping of characters and of bases with
+their accents, which is built, checked for conflicts and compiled to an automaton when the module is
+loaded; marks that no sequence of the mapping holds are put in canonical order. What is mapped: full-width and half-width forms, Latin
 ligatures, kinds of hyphen, kinds of space, invisible characters, combining accents (composed), and
 Cyrillic or Greek letters drawn like Latin ones. What looks different (case, digits, accents, words,
 line breaks, dashes, quotation marks, superscripts) stays different.
@@ -38,7 +39,7 @@ LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳ"
 
 
 def build_mapping() -> dict[str, str]:
-    """Character to replacement. Raises if two rules disagree or a replacement would be rewritten again."""
+    """Character, or base with accents, to replacement. Raises if two rules disagree or a replacement would be rewritten again."""
     table: dict[str, str] = {}
 
     def put(a: str, b: str) -> None:
@@ -62,13 +63,42 @@ def build_mapping() -> dict[str, str]:
         whole = unicodedata.normalize("NFD", chr(i))
         if len(whole) > 1 and whole[0] in LOOK_ALIKES:
             put(chr(i), unicodedata.normalize("NFC", LOOK_ALIKES[whole[0]] + whole[1:]))
+    singles: dict[str, list[str]] = {}
+    for a, b in table.items():
+        if len(a) == len(b) == 1:
+            singles.setdefault(b, []).append(a)
+    for i in range(0xC0, 0x20000):
+        c = chr(i)
+        seq = unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else c
+        if len(seq) > 1 and c not in table and unicodedata.normalize("NFC", c) == c and all(map(unicodedata.combining, seq[1:])):
+            for k in range(1, len(seq)):
+                head = unicodedata.normalize("NFC", seq[:k])
+                for h in (head, *singles.get(head, ())) if len(head) == 1 else ():
+                    put(h + seq[k:], c)
     for a, b in table.items():
         if any(c in table for c in b):
             raise ValueError(f"{a!r} gives {b!r}, which is mapped again")
     return table
 
 
+def compile_mapping(table: dict[str, str]) -> list[tuple[dict[str, int], str | None]]:
+    """The states of the automaton: (character to next state, replacement of what was read so far)."""
+    steps: list[dict[str, int]] = [{}]
+    ends: list[str | None] = [None]
+    for a, b in table.items():
+        at = 0
+        for c in a:
+            if c not in steps[at]:
+                steps[at][c] = len(steps)
+                steps.append({})
+                ends.append(None)
+            at = steps[at][c]
+        ends[at] = b
+    return list(zip(steps, ends))
+
+
 MAPPING = build_mapping()
+_STATES = compile_mapping(MAPPING)
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _JOINS = frozenset(INVISIBLE)
 
@@ -77,6 +107,24 @@ def _sticks(c: str) -> bool:
     return c in _JOINS or unicodedata.combining(c) > 0
 
 
+def _longest(cluster: str, i: int) -> tuple[int, str]:
+    """(end, replacement) of the longest match from ``i``; invisible characters between base and accents are read over."""
+    best, state, j = (i + 1, cluster[i]), 0, i
+    while j < len(cluster):
+        if state and cluster[j] in _JOINS:
+            j += 1
+            continue
+        state = _STATES[state][0].get(cluster[j], -1)
+        if state < 0:
+            break
+        j += 1
+        if _STATES[state][1] is not None:
+            best = (j, _STATES[state][1])
+        if cluster[i] in _JOINS:
+            break
+    return best
+
+
 @lru_cache(maxsize=1 << 16)
 def _rewrite(run: str) -> str:
     """One run of clusters, cluster by cluster."""
@@ -85,8 +133,12 @@ def _rewrite(run: str) -> str:
         j = i + 1
         while j < len(run) and _sticks(run[j]):
             j += 1
-        mapped = "".join(MAPPING.get(c, c) for c in run[i:j])
-        out.append(mapped if mapped.isascii() else unicodedata.normalize("NFC", mapped))
+        end, mapped = _longest(run[i:j], 0)
+        whole = end == j - i > 1
+        while end < j - i:
+            end, more = _longest(run[i:j], end)
+            mapped += more
+        out.append(mapped if whole or mapped.isascii() else unicodedata.normalize("NFC", mapped))
         i = j
     return "".join(out)
 

@@ -45,6 +45,22 @@ def test_mapping_conflicts_are_found(monkeypatch):
         text_form.build_mapping()
 
 
+def test_clusters_are_in_the_mapping(monkeypatch):
+    e = "e\u0301"
+    assert text_form.MAPPING[e] == text_form.MAPPING["\u0435\u0301"] == "\u00e9" and text_form._longest(e + "x", 0) == (2, "\u00e9")
+    assert text_form._longest("e\u200b\u0301", 0) == (3, "\u00e9") and text_form.MAPPING["\u00e2\u0301"] == "\u1ea5"
+    monkeypatch.setitem(text_form.LOOK_ALIKES, e, "x")
+    with pytest.raises(ValueError):
+        text_form.build_mapping()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeAсоｅй\u00e2\u1ea5\u0301\u0302\u0323\u0327\u200b\u00ad ﬁ\u212bか\u3099"), max_size=12))
+def test_longest_match_gives_composed_clusters(t):
+    parts = re.findall(r"(?s).(?:[\u0300-\u036f\u3099]|[\u200b\u00ad])*", t)
+    assert text_form.consistent(t) == "".join(unicodedata.normalize("NFC", "".join(text_form.MAPPING.get(c, c) for c in p)) for p in parts)
+
+
 def test_look_alike_pairs(spark):
     rows = [(1, "café", "k"), (2, "café", "k"), (3, "café", "k"), (4, "cafe", "k"), (5, None, None), (6, "", None), (7, "", None), (7, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, form string")
