@@ -3,7 +3,7 @@
 Two lines are the same if they agree in their letters. Documents of a source with the same letters in the same
 lines are collapsed into one cluster with a weight before lines are counted, so each line
 is counted over distinct clusters and publication dates as well as over documents; copies of a republished
-article raise only the last. Which count decides is a parameter.
+article raise only the last. Which count decides is a parameter; lines are removed if two clusters and two dates have them.
 
 Everything is hashed inside the JVM: a document becomes an array of 64-bit line keys (null for a line without
 letters), and only those arrays are grouped and shuffled. Counts are partial sums before the shuffle, so a
@@ -36,18 +36,22 @@ def line_keys(df: DataFrame, id_col: str, source: str, date: str | None, text: s
 
 
 def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_clusters: int = 1, min_dates: int = 0) -> DataFrame:
-    """(source, key, n_docs, n_clusters, n_dates, source_docs) of each repeated line; n_dates leaves out clusters without a date."""
+    """(source, key, n_docs, n_clusters, n_dates, source_docs) of each repeated line.
+
+    n_dates leaves out clusters without a date; for ``min_dates`` each of them may be of a date of its own.
+    """
     body = keys.withColumn("body", F.xxhash64("keys")).withColumn("set", F.array_distinct(F.array_compact("keys")))
     clusters = stash(body.groupBy("source", "body").agg(F.count("*").alias("w"), F.first("set").alias("set"), F.min("day").alias("day")), "line-clusters")
     totals = clusters.groupBy("source").agg(F.sum("w").alias("source_docs"))
+    alone = F.when(F.col("day").isNull(), F.col("body")).alias("alone")
     lines = clusters.select("source", "w", "day", F.explode("set").alias("key"))
     counts = lines.groupBy("source", "key").agg(F.sum("w").alias("n_docs"), F.count("*").alias("n_clusters"))
     counts = counts.filter((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters))
     often = stash(counts.join(totals, "source").filter(F.col("n_docs") + 1e-9 >= min_share * F.col("source_docs")), "line-counts")
     lists = _by_source(often)
-    dated = clusters.join(lists, "source").select("source", "day", F.explode(F.array_intersect("set", "drop")).alias("key")).distinct()
-    dates = dated.groupBy("source", "key").agg(F.count("day").alias("n_dates"))
-    return often.join(dates, ["source", "key"]).filter(F.col("n_dates") >= min_dates)
+    dated = clusters.join(lists, "source").select("source", "day", alone, F.explode(F.array_intersect("set", "drop")).alias("key")).distinct()
+    dates = dated.groupBy("source", "key").agg(F.count("day").alias("n_dates"), F.count("alone").alias("n_alone"))
+    return often.join(dates, ["source", "key"]).filter(F.col("n_dates") + F.col("n_alone") >= min_dates).drop("n_alone")
 
 
 def _by_source(repeated: DataFrame) -> DataFrame:
@@ -65,8 +69,11 @@ def repeated_occurrences(df: DataFrame, id_col: str, source: str, date: str | No
 
 
 def remove_site_lines(df: DataFrame, id_col: str, source: str, date: str | None, text: str = "text", **rule) -> DataFrame:
-    """``df`` with the repeated lines taken out of ``text``; every other line stays as it was."""
-    rule = {"min_clusters": 2} | rule
+    """``df`` with the repeated lines taken out of ``text``; every other line stays as it was.
+
+    Lines of one cluster or of one date are a republished article, not repeated lines.
+    """
+    rule = {"min_clusters": 2, "min_dates": 2} | rule
     keys = stash(line_keys(df, id_col, source, date, text), "line-keys")
     lists = _by_source(repeated_lines(keys, **rule)).toDF("__source", "__drop")
     rows = df.join(lists, df[source] == lists["__source"], "left").withColumn("__lines", F.split(text, "\n", -1)).withColumn("__keys", _keys(F.col(text)))

@@ -111,6 +111,14 @@ def test_republished_article_is_no_boilerplate(spark):
     assert site_lines.remove_site_lines(df, "doc_id", "ticker", None).filter("text like 'same%second line'").count() == 4
 
 
+@pytest.mark.parametrize("days, kept", [(("2024-01-01",) * 3, True), (("2024-01-01", "2024-01-02", "2024-01-02"), False), ((None, "2024-01-01", "2024-01-01"), False), ((None,) * 3, False)])
+def test_changed_copies_of_one_date_are_no_boilerplate(spark, days, kept):
+    rows = [(i, "A", d, f"same article\nword {w}") for i, (d, w) in enumerate(zip(days, "abc"))] + [(9, "A", "2024-02-01", "another")]
+    df = spark.createDataFrame(rows, "doc_id long, ticker string, day string, text string")
+    assert site_lines.remove_site_lines(df, "doc_id", "ticker", "day").filter("text like 'same article%'").count() == 3 * kept
+    assert site_lines.repeated_occurrences(df, "doc_id", "ticker", "day").count() == 3  # by documents
+
+
 # --- 6 ---
 
 
