@@ -288,26 +288,35 @@ def train(rounds: int = 45, rate: float = 0.15, penalty: float = 0.02) -> Tagger
 
 
 _LEGAL = re.compile(r"\b(?:plc|ltd|limited|inc|bank|cement|foods|refinery|insurance|petroleum|telecoms|towers|paints|breweries|energy)\b", re.I)
-# Words that begin or end no name.
-_NO_NAME = frozenset("a an and as at by for from if in is it its make no not of on or our per so than that the this to under we when while with upper lower port saint são côte note page phase read table tables north south east west new also where there these those here after before between january february march april may june july august september october november december".split())
+_COMPANY = re.compile(r"\b(?:plc|ltd|limited|inc)\b", re.I)
+# Words that begin or end no name, and those that do only after a title.
+_FUNCTION = frozenset("a an and as at by for from if in is it its make no not of on or our per so than that the this to under we when while with also where there these those here after before between".split())
+_NO_NAME = _FUNCTION | frozenset("upper lower port saint são côte note page phase read table tables north south east west new january february march april may june july august september october november december".split())
 _TITLED = re.compile(rf"(?:(?:{_TITLE})\b\.?\s+(?:\(\w+\.?\)\s*)?)+")
+_TITLE_BEFORE = re.compile(rf"(?<!\w)(?:{_TITLED.pattern})$")
 _CUT = re.compile(r"(?<=[^\W\d_]{2})\.\s")
 _PARTICLES = frozenset("de la le el al bin van von da di dos".split())
 
 
-def _is_name(s: str, a: int, b: int) -> bool:
-    """The exact check of a name: two to five capitalised words, one comma at most, no company, no sentence in capitals."""
+def _is_name(s: str, a: int, b: int, title: int = -1) -> bool:
+    """The exact check of a name: two to five capitalised words, one comma at most, no company, no sentence in capitals.
+
+    ``title``: where a title before the name begins; after one a single word will do, also one that is otherwise no name.
+    """
     words = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", s[a:b])
-    if not 2 <= len(words) <= 5 or s.count(",", a, b) > 1 or re.search(r"\d|[;:!?\"/()]|\s\s|\n.*\n", s[a:b]):
+    titled = title >= 0
+    no_name, company = (_FUNCTION, _COMPANY) if titled else (_NO_NAME, _LEGAL)
+    if not 2 - titled <= len(words) <= 5 or s.count(",", a, b) > 1 or re.search(r"\d|[;:!?\"/()]|\s\s|\n.*\n", s[a:b]):
         return False
-    if words[0].lower() in _NO_NAME or words[-1].lower() in _NO_NAME:
+    if words[0].lower() in no_name or words[-1].lower() in no_name:
         return False
     if any(not w[0].isupper() and w not in _PARTICLES for w in words) or not any(len(w) > 1 for w in words):
         return False
     after = re.match(r"\W{1,3}([^\W\d_]+)", s[b : b + 40])
-    if _LEGAL.search(s[a:b]) or after and _LEGAL.fullmatch(after[1]):
+    if company.search(s[a:b]) or after and (company if titled and len(words) > 1 else _LEGAL).fullmatch(after[1]):
         return False
     if all(w.isupper() for w in words):
+        a = title if titled else a
         before = re.search(r"([^\W\d_]{2,})\W{0,3}$", s[max(0, a - 40) : a])
         return not (before and before[1].isupper() or after and len(after[1]) > 1 and after[1].isupper())
     return True
@@ -332,10 +341,13 @@ def _spans(s: str, tokens: list[re.Match], tags: np.ndarray, patterns: list[tupl
         i = j
         if kind == "person":
             titled = _TITLED.match(s, a, b)
+            title = a if titled else -1
             a = titled.end() if titled else a
+            if not titled and (ahead := _TITLE_BEFORE.search(s[max(0, a - 40) : a])):
+                title = max(0, a - 40) + ahead.start()
             cut = _CUT.search(s, a, b)
             b = a + len(_NAME_END.sub("", s[a : cut.start() if cut else b]))
-            if _is_name(s, a, b) and not any(a < y and x < b for x, y, c in patterns if c in "EA"):
+            if _is_name(s, a, b, title) and not any(a < y and x < b for x, y, c in patterns if c in "EA"):
                 yield a, b, kind
             continue
         over = [(x, y, c) for x, y, c in patterns if x < b and a < y and c in fits[kind]]

@@ -294,6 +294,18 @@ def test_tagged_examples(tagger, text, want):
     assert {(k, text[a:b]) for a, b, k in personal.tag_texts(tagger, [text])[0]} == want
 
 
+@pytest.mark.parametrize("text, name", [("Contact: Mrs June Adeyemi, +234 803 555 0101", "June Adeyemi"), ("Contact: Mr Tunde West, +234 803 555 0101", "Tunde West"), ("Contact: Mr Okafor, +234 803 555 0101", "Okafor"), ("Contact: Mr Tunde Towers, +234 803 555 0101", "Tunde Towers"), ("Mr Tunde Foods Plc", None), ("see June Adeyemi", None), ("Okafor", None)])
+def test_a_title_overrides_the_word_lists(text, name):
+    tags = [personal.TAGS.index(k) for k in ("B-person", "I-person")]
+    body = name or ("Tunde Foods" if "Tunde" in text else "June Adeyemi" if "June" in text else "Okafor")
+    tokens = list(personal.TOKEN.finditer(text))
+    at = [i for i, m in enumerate(tokens) if text.index(body) <= m.start() < text.index(body) + len(body)]
+    marked = np.zeros(len(tokens), dtype=int)
+    marked[at] = [tags[i > at[0]] for i in at]
+    got = [text[a:b] for a, b, _ in personal._spans(text, tokens, marked, [])]
+    assert got == ([name] if name else [])
+
+
 def test_viterbi_as_by_enumeration(tagger):
     import itertools
 
