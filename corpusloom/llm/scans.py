@@ -11,7 +11,8 @@ hyphen at a line end, and every short line that comes back within a text. From t
 * lines are judged as header, page number or text by classifiers trained on clean texts laid out in pages.
 
 A second pass applies the decisions to every text, or stretch of a text, in page layout. The classifiers are fitted on bounded samples
-(``FIT_WORDS`` words, ``FIT_TEXTS`` texts); all counts, candidates and decisions cover everything.
+(``FIT_WORDS`` words for the ranker, ``FIT_JOIN_WORDS`` for broken words, the first ``FIT_CHARS`` characters of ``FIT_TEXTS``
+texts for lines; whether a text is clean is judged on all of it); all counts, candidates and decisions cover everything.
 
 Defined results: null and empty texts have no lines and stay as they are; texts without page layout stay as they are;
 repeated rows are treated alike; other columns pass untouched; very long texts are read whole.
@@ -34,7 +35,7 @@ from .boosting import BoostedTrees
 from .common import map_arrow, stash
 from .text_form import consistent
 
-FIT_WORDS, FIT_TEXTS, Q = 3_000, 400, 3
+FIT_WORDS, FIT_JOIN_WORDS, FIT_TEXTS, FIT_CHARS, Q = 3_000, 12_000, 400, 6_000, 3
 LONG_LINE = 120
 # What optical recognition reads in place of what is printed.
 CONFUSIONS = {
@@ -411,7 +412,7 @@ def judge_joins(counts: DataFrame, fixes: DataFrame) -> DataFrame:
     """(a, b) of the pairs that are one word broken at the line end."""
     spark = counts.sparkSession
     words = counts.filter("kind = 'w'").select("a", (F.col("clean") + F.col("paged")).alias("n"))
-    fit = words.filter("n >= 3").orderBy(F.desc("n"), "a").limit(4 * FIT_WORDS).collect()
+    fit = words.filter("n >= 3").orderBy(F.desc("n"), "a").limit(FIT_JOIN_WORDS).collect()
     model = spark.sparkContext.broadcast(train_joins({r[0]: r[1] for r in fit}))
     pairs = counts.filter("kind = 'p'").select("a", "b", F.concat("a", "b").alias("ab"), F.concat_ws("-", "a", "b").alias("a_b"))
     for c, out in (("ab", "n_join"), ("a_b", "n_comp"), ("a", "n_a"), ("b", "n_b")):
@@ -522,7 +523,7 @@ def train_furniture(samples: list[tuple[str, str]], seed: int = 6) -> tuple[Boos
     rnd = random.Random(seed)
     xs, ys = [np.zeros((1, 23))], [np.zeros(1, dtype=int)]
     for text, name in samples:
-        laid = lay_out(text[:6000], name, rnd)
+        laid = lay_out(text[:FIT_CHARS], name, rnd)
         lines = [l for l, _ in laid]
         heads = {key_of(l): rnd.choice([0, 0, 2, 9, 60]) for l, k in laid if k == 1}
         full, x = line_features(lines, heads, repeats(lines))
@@ -653,6 +654,16 @@ class Repairer:
         return "\n\n".join(out)
 
 
+def clean_starts(texts: DataFrame) -> list[str]:
+    """The first ``FIT_CHARS`` characters of each (text) without page layout, judged on the whole text; distinct and in order."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [t[:FIT_CHARS] for t in batch.column(0).to_pylist() if not page_layout(lines_of(t))]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+
+    return sorted({r[0] for r in map_arrow(texts, fn, "text string").collect()})
+
+
 def fit_repairer(texts: DataFrame, names: DataFrame | None = None, max_fixes: int = 2_000_000, max_heads: int = 1_000_000) -> Repairer:
     """``texts``: every (text) of the corpus; ``names``: (name) of companies, for the training layouts.
 
@@ -667,8 +678,8 @@ def fit_repairer(texts: DataFrame, names: DataFrame | None = None, max_fixes: in
             raise ValueError(f"{n} decisions exceed the bound of {most} for a broadcast")
     hashed = texts.filter(F.length("text") > 600).withColumn("h", F.xxhash64("text"))
     low = hashed.select("h").distinct().orderBy("h").limit(4 * FIT_TEXTS).agg(F.max("h")).first()[0]
-    sample = sorted({r[0] for r in hashed.filter(F.col("h") <= F.lit(low)).select("text", "h").distinct().select(F.substring("text", 1, 6_000)).collect()}) if low is not None else []
-    clean = [t for t in sample if not page_layout(t.split("\n"))][:FIT_TEXTS]
+    sample = clean_starts(hashed.filter(F.col("h") <= F.lit(low)).select("text")) if low is not None else []
+    clean = sample[:FIT_TEXTS]
     titles = [r[0] for r in names.filter("name is not null").select("name").distinct().orderBy("name").limit(200).collect()] if names is not None else []
     rnd = random.Random(8)
     header, number = train_furniture([(consistent(t), rnd.choice(titles or ["Example Holdings Plc"])) for t in clean])

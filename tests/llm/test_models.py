@@ -151,6 +151,14 @@ def test_scan_with_a_long_line_and_in_part(spark):
     assert out[701].startswith(long + "\n\n") and out[701].endswith(f"\n{long}  {long}") and "\n- 1 -" not in out[701]
 
 
+def test_clean_is_judged_on_whole_texts(spark):
+    clean = "A clean line of a text that is stored with one paragraph in each line. " * 100
+    page = "\n".join(["Zenon Bank Plc - Report", "the profit of the year was supported by the mana-", "gement and the directors of the bank, which", "Page 3"] * 4)
+    assert len(clean) > scans.FIT_CHARS
+    df = spark.createDataFrame([(clean,), (clean,), (f"{clean}\n{page}",)], "text string")
+    assert scans.clean_starts(df) == [clean[: scans.FIT_CHARS]] and scans.clean_starts(df.filter("text like '%Page 3%'")) == []
+
+
 def test_boosting_learns_a_rule():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(600, 3))
