@@ -304,13 +304,9 @@ def test_tagged_examples(tagger, text, want):
 
 @pytest.mark.parametrize("text, name", [("Contact: Mrs June Adeyemi, +234 803 555 0101", "June Adeyemi"), ("Contact: Mr Tunde West, +234 803 555 0101", "Tunde West"), ("Contact: Mr Okafor, +234 803 555 0101", "Okafor"), ("Contact: Mr Tunde Towers, +234 803 555 0101", "Tunde Towers"), ("Mr Tunde Foods Plc", None), ("see June Adeyemi", None), ("Okafor", None)])
 def test_a_title_overrides_the_word_lists(text, name):
-    tags = [personal.TAGS.index(k) for k in ("B-person", "I-person")]
     body = name or ("Tunde Foods" if "Tunde" in text else "June Adeyemi" if "June" in text else "Okafor")
-    tokens = list(personal.TOKEN.finditer(text))
-    at = [i for i, m in enumerate(tokens) if text.index(body) <= m.start() < text.index(body) + len(body)]
-    marked = np.zeros(len(tokens), dtype=int)
-    marked[at] = [tags[i > at[0]] for i in at]
-    got = [text[a:b] for a, b, _ in personal._spans(text, tokens, marked, [])]
+    at = text.index(body)
+    got = [text[a:b] for a, b in personal.checked(text, at, at + len(body), "person", [])]
     assert got == ([name] if name else [])
 
 
@@ -320,13 +316,64 @@ def test_viterbi_as_by_enumeration(tagger):
     rnd = np.random.default_rng(5)
     small = personal.Tagger({"a"})
     k = len(personal.TAGS)
-    small.weights = rnd.normal(size=(6, k))
-    small.trans = rnd.normal(size=(k + 1, k))
-    for n in (1, 2, 3):
-        cols = rnd.integers(0, 6, size=(n, 2))
-        em = small.weights[cols].sum(axis=1)
-        best = max(itertools.product(range(k), repeat=n), key=lambda p: sum(em[i, t] for i, t in enumerate(p)) + small.trans[-1, p[0]] + sum(small.trans[x, y] for x, y in zip(p, p[1:])))
-        assert tuple(small.decode([cols])[0]) == best
+    small.trans = rnd.normal(size=(k + 1, k)).astype(np.float32)
+    sizes = np.array([2, 0, 3, 1, 4])
+    first = np.array([1, 3, 4, 8, 9])
+    em = rnd.normal(size=(13, k)).astype(np.float32)
+    tags = small.decode(em, first, sizes)
+    for a, n in zip(first, sizes):
+        best = max(itertools.product(range(k), repeat=int(n)), key=lambda p: sum(em[a + i, t] for i, t in enumerate(p)) + (small.trans[-1, p[0]] if p else 0) + sum(small.trans[x, y] for x, y in zip(p, p[1:])))
+        assert tuple(tags[a : a + n]) == best
+
+
+def test_tokens_as_by_a_pattern():
+    import re
+
+    token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n|[^\w\s]|_")
+    texts = ["It's O’Neil's  12,5 ab_c\n\n''x' 'tis é́ ﬁn ＡＢ１2", "", "x", "  ", "日本 '’a", "\u200bA\u00adb"]
+    stream = personal.Stream(texts)
+    words = [stream.form[a:b] for a, b in zip(stream.start, stream.end)]
+    lists = [token.findall(t) for t in stream.form.split("\U0010ffff\U0010ffff")[1:-1]]
+    assert [w for w in words if w != "\U0010ffff"] == [w for ws in lists for w in ws]
+    assert all(int(h) == personal.hash_of(w.lower()) for h, w in zip(stream.hash, words))
+
+
+def test_patterns_as_over_the_whole_text():
+    parts = ["write to a.b_c@x-y.example or ", "d @ host.test", " e(at)f[dot]g ", "kim at post dot org dot ng", " at our dot plant ", "+234 803 555 0101 ", "(0803) 555-0101\n", "A12345678, ", "Flat 3, 12B Old Foundry Way, Ikoyi, Lagos ", "No. 7 Mill Road, Benin City. ", "the Kestrel Road branch ", "2020\n2019 ", "NGN121.8 ", "By the Close, Of 12 Way ", "2237-2091-561. "]
+    rnd = random.Random(4)
+    for _ in range(200):
+        text = "".join(rnd.choice(parts) for _ in range(8))
+        stream = personal.Stream([text])
+        taken = [m.span() for m in personal.EMAIL.finditer(text)]
+        want = [(a, b, "E") for a, b in taken]
+        for pattern in (personal.ADDRESS, personal.NUMBER):
+            found = [m.span() for m in pattern.finditer(text) if pattern is personal.ADDRESS or sum(c.isdigit() for c in m[0]) >= 7 and not ("\n" in m[0] and "." in m[0])]
+            found = [(a, b) for a, b in found if not any(x < b and a < y for x, y in taken)]
+            taken += found
+            want += [(a, b, "A" if pattern is personal.ADDRESS else "N") for a, b in found]
+        got = [(a - 2, b - 2, k if k in "EA" else "N") for a, b, k in personal.covers(stream)]
+        assert got == sorted(want)
+
+
+def test_recall_on_held_out_templates(monkeypatch):
+    every = labelled.SENTENCES
+    monkeypatch.setattr(labelled, "SENTENCES", [s for i, s in enumerate(every) if i % 3 != 1])
+    tagger = personal.train(labelled.examples())
+    monkeypatch.setattr(labelled, "SENTENCES", [s for i, s in enumerate(every) if i % 3 == 1])
+    texts, marks = personal.labelled_texts(labelled.examples(copies=8))
+    got = personal.tag_texts(tagger, texts)
+    wanted = Counter(k for m in marks for _, _, k in m)
+    hit = Counter(x[2] for m, g in zip(marks, got) for x in set(m) & set(g))
+    assert all(hit[k] >= 0.9 * n for k, n in wanted.items())
+
+
+def test_a_long_text_is_read_in_stretches(tagger):
+    one = "Contact: Mrs Adunni Falola, +234 803 555 0101. Output rose by 12.5% at the plant in the north.\n"
+    text = one * 400
+    spans = personal.tag_texts(tagger, [text, None, one])
+    assert [(k, text[a:b]) for a, b, k in spans[0]] == [("person", "Adunni Falola"), ("phone", "+234 803 555 0101")] * 400
+    assert spans[1] == [] and len(spans[2]) == 2
+    assert personal.tag_texts(tagger, ["x" * 30_000 + " " + one])[0] == [(a + 30_001, b + 30_001, k) for a, b, k in spans[2]]
 
 
 def test_personal_frames(spark):
