@@ -12,7 +12,10 @@ hyphen at a line end, and every short line that comes back within a text. From t
 
 A second pass applies the decisions to every text, or stretch of a text, in page layout. The classifiers are fitted on bounded samples
 (``FIT_WORDS`` words for the ranker, ``FIT_JOIN_WORDS`` for broken words, the first ``FIT_CHARS`` characters of ``FIT_TEXTS``
-texts for lines; whether a text is clean is judged on all of it); all counts, candidates and decisions cover everything.
+texts of at least ``FIT_LEAST`` for lines, with ``FIT_NAMES`` company names as headers; whether a text is clean is judged on all of it);
+all counts, candidates and decisions cover everything. Decisions reach the texts by broadcast up to a bound, beyond it by a join on
+the words, pairs and line keys of each text, with the same result. Words of one or two characters are never corrected (no q-gram tells them
+apart), and a correction differs by at most two characters in length; a header is a line of at most ``LONG_LINE`` characters.
 
 Defined results: null and empty texts have no lines and stay as they are; texts without page layout stay as they are;
 repeated rows are treated alike; other columns pass untouched; very long texts are read whole.
@@ -35,7 +38,7 @@ from .boosting import BoostedTrees
 from .common import map_arrow, stash
 from .text_form import consistent
 
-FIT_WORDS, FIT_JOIN_WORDS, FIT_TEXTS, FIT_CHARS, Q = 3_000, 12_000, 400, 6_000, 3
+FIT_WORDS, FIT_JOIN_WORDS, FIT_TEXTS, FIT_CHARS, FIT_LEAST, FIT_NAMES, Q = 3_000, 12_000, 400, 6_000, 600, 200, 3
 LONG_LINE = 120
 # What optical recognition reads in place of what is printed.
 CONFUSIONS = {
@@ -50,6 +53,8 @@ _END = re.compile(r"([^\W_](?:[\w'’-]*[^\W_])?)(?:-|¬)$")
 _START = re.compile(r"\W{0,1}([^\W_](?:[\w'’]*[^\W_])?)")
 _PAGE = re.compile(r"\s*(?:(?P<word>page|p\.|pg\.?|seite)\s*)?(?P<deco>[-–—|\[(<~*•]{0,2})\s*(?P<n>\d{1,4}|[ivxlc]{1,7})(?P<of>\s*(?:of|/)\s*\d{1,4})?\s*[-–—|\])>~*•]{0,2}\s*$", re.I)
 _NUMERIC = re.compile(r"[\s\d.,%()+-]*\d[\s\d.,%()+-]*$")
+_NO_LETTERS, _UPPERS, _DIGITS = (bytes(i for i in range(128) if f(chr(i))) for f in (lambda c: not c.isalpha(), str.isupper, str.isdigit))
+_TO_SPACES = bytes(i if chr(i).isalpha() else 32 for i in range(128)) + bytes(128)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -133,6 +138,9 @@ def lines_of(text: str) -> list[str]:
 
 
 def key_of(line: str) -> str:
+    """The letters of a line in lower case."""
+    if line.isascii():
+        return line.encode().translate(None, _NO_LETTERS).lower().decode()
     return "".join(_LETTERS.findall(line.lower()))
 
 
@@ -152,7 +160,7 @@ def words_of_tokens(tokens: Counter) -> Counter:
 
 def repeats(lines: list[str]) -> list[int]:
     """For each line, how many lines of the text have its letters, or the same first or second half of them."""
-    keys = [key_of(l) if l.strip() and len(l) <= 110 else "" for l in lines]
+    keys = [key_of(l) if l.strip() and len(l) <= LONG_LINE else "" for l in lines]
     whole, first, second = Counter(keys), Counter(k[: len(k) // 2] for k in keys if len(k) > 11), Counter(k[len(k) // 2 :] for k in keys if len(k) > 11)
     out = []
     for k in keys:
@@ -180,7 +188,7 @@ def page_value(line: str) -> tuple[int, str] | None:
 
 def next_text(lines: list[str], reps: list[int], k: int) -> int:
     """The next line that may be running text, or -1."""
-    for j in range(k + 1, min(len(lines), k + 8)):
+    for j in range(k + 1, len(lines)):
         l = lines[j]
         if l.strip() and not page_value(l) and not _NUMERIC.match(l) and not (reps[j] > 1 and len(key_of(l)) > 3 and not l[:1].islower()):
             return j
@@ -344,7 +352,7 @@ def _least_shared(s: str, c: str) -> int:
 def corrections(counts: DataFrame) -> DataFrame:
     """(word, fixed): the replacement of each spoilt word of the texts in page layout."""
     words = counts.filter("kind in ('w', 'j')").groupBy("a").agg(F.sum(F.when(F.col("kind") == "w", F.col("clean"))).alias("clean"), F.sum("paged").alias("paged"), F.max(F.when(F.col("kind") == "w", 1)).alias("seen"))
-    words = stash(words.select(F.col("a").alias("w"), F.coalesce("clean", F.lit(0)).alias("clean"), "paged", "seen").filter(F.length("w").between(3, 40)), "scan-words")
+    words = stash(words.select(F.col("a").alias("w"), F.coalesce("clean", F.lit(0)).alias("clean"), "paged", "seen").filter(F.length("w") >= 3), "scan-words")
     lexicon = words.filter("clean >= 3 and seen = 1")
     fit = lexicon.orderBy(F.desc("clean"), "w").limit(FIT_WORDS).collect()
     ranker = train_ranker([(r["w"], r["clean"], r["paged"]) for r in fit])
@@ -433,11 +441,24 @@ def judge_joins(counts: DataFrame, fixes: DataFrame) -> DataFrame:
 # --- furniture -------------------------------------------------------------------------------------------------
 
 
+_NUMBERED = re.compile(r"\d+\s|.*\s\d+$")
+
+
+def _letter_counts(l: str) -> tuple[int, int, int, int, int]:
+    """Letters, capital letters, digits, words and capitalised words of a line."""
+    if l.isascii():
+        b = l.encode()
+        n = len(b)
+        words = b.translate(_TO_SPACES).split()
+        return sum(map(len, words)), n - len(b.translate(None, _UPPERS)), n - len(b.translate(None, _DIGITS)), len(words), len([w for w in words if w[0] < 97])
+    letters, words = [c for c in l if c.isalpha()], _LETTERS.findall(l)
+    return len(letters), sum(c.isupper() for c in letters), sum(c.isdigit() for c in l), len(words), sum(w[0].isupper() for w in words)
+
+
 def line_features(lines: list[str], heads: dict[str, int], reps: list[int]) -> tuple[list[int], list[list[float]]]:
     """(line numbers, features) of the lines that are not blank."""
     values = [page_value(l) for l in lines]
     full = [k for k, l in enumerate(lines) if l.strip()]
-    place = {k: i for i, k in enumerate(full)}
     width = sorted(len(lines[k]) for k in full)[len(full) // 2] if full else 1
     back, ahead = {}, {}
     run: dict[tuple[int, str], int] = {}
@@ -450,21 +471,20 @@ def line_features(lines: list[str], heads: dict[str, int], reps: list[int]) -> t
         if values[k]:
             v, s = values[k]
             ahead[k] = run[v, s] = run.get((v + 1, s), 0) + 1
+    bare = [lines[k].strip() for k in full]
+    numeric = [bool(_NUMERIC.match(l)) for l in bare]
     rows = []
-    for k in full:
-        l = lines[k].strip()
-        i = place[k]
-        before, after = (lines[full[i - 1]].strip() if i else "", lines[full[i + 1]].strip() if i + 1 < len(full) else "")
-        letters = [c for c in l if c.isalpha()]
-        words = _LETTERS.findall(l)
-        key = key_of(l)
+    for i, (k, l) in enumerate(zip(full, bare)):
+        before, after = (bare[i - 1] if i else "", bare[i + 1] if i + 1 < len(full) else "")
+        letters, uppers, digits, words, capitals = _letter_counts(l)
+        key = key_of(l) if heads else ""
         value = values[k]
         rows.append([
-            float(value is not None), float(value[0]) if value else -1.0, float(back.get(k, 0) + ahead.get(k, 0)), float(bool(value) and value[1] != "dFalseFalse"), float(bool(_NUMERIC.match(l))),
-            float(bool(before and _NUMERIC.match(before))), float(bool(after and _NUMERIC.match(after))), float(reps[k]), math.log1p(heads.get(key, 0)) if len(key) > 3 else 0.0, len(l) / width,
-            sum(c.isupper() for c in letters) / max(1, len(letters)), sum(w[0].isupper() for w in words) / max(1, len(words)), float(l[-1] in ".,;:-¬"), float(l[0].islower()), float(bool(re.match(r"\d+\s|.*\s\d+$", l))),
-            float(before[-1:] not in ".!?:" and bool(before)), float(after[:1].islower()), float(i == 0), float(i + 1 == len(full)), float(len(lines[k]) - len(lines[k].lstrip())), float(len(words)),
-            float(any(values[full[j]] for j in (i - 1, i + 1) if 0 <= j < len(full))), float(sum(ch.isdigit() for ch in l) / len(l)),
+            float(value is not None), float(value[0]) if value else -1.0, float(back.get(k, 0) + ahead.get(k, 0)), float(bool(value) and value[1] != "dFalseFalse"), float(numeric[i]),
+            float(i > 0 and numeric[i - 1]), float(i + 1 < len(full) and numeric[i + 1]), float(reps[k]), math.log1p(heads.get(key, 0)) if len(key) > 3 else 0.0, len(l) / width,
+            uppers / max(1, letters), capitals / max(1, words), float(l[-1] in ".,;:-¬"), float(l[0].islower()), float(bool(digits) and bool(_NUMBERED.match(l))),
+            float(before[-1:] not in ".!?:" and bool(before)), float(after[:1].islower()), float(i == 0), float(i + 1 == len(full)), float(len(lines[k]) - len(lines[k].lstrip())), float(words),
+            float(bool(i and values[full[i - 1]] or i + 1 < len(full) and values[full[i + 1]])), digits / len(l),
         ])
     return full, rows
 
@@ -536,11 +556,25 @@ def train_furniture(samples: list[tuple[str, str]], seed: int = 6) -> tuple[Boos
 # --- application -----------------------------------------------------------------------------------------------
 
 
+class _Spoilt(dict):
+    """Whether the word of a token has a correction; answers are kept, up to a bound that only costs time."""
+
+    def __init__(self, fixes: dict[str, str], limit: int = 1 << 18):
+        self.fixes, self.limit = fixes, limit
+
+    def __missing__(self, token: str) -> bool:
+        found = word_of(token) in self.fixes
+        if len(self) < self.limit:
+            self[token] = found
+        return found
+
+
 class Repairer:
-    """All decisions, as broadcast to the executors."""
+    """All decisions, as broadcast to the executors; where there are too many, ``decisions`` is a table of them."""
 
-    def __init__(self, fixes: dict[str, str], broken: set[tuple[str, str]], heads: dict[str, int], header: BoostedTrees, number: BoostedTrees):
-        self.fixes, self.broken, self.heads, self.header, self.number = fixes, broken, heads, header, number
+    def __init__(self, fixes: dict[str, str], broken: set[tuple[str, str]], heads: dict[str, int], header: BoostedTrees, number: BoostedTrees, decisions: DataFrame | None = None):
+        self.fixes, self.broken, self.heads, self.header, self.number, self.decisions = fixes, broken, heads, header, number, decisions
+        self.spoilt = _Spoilt(fixes)
 
     def judge_all(self, texts: list[list[str]]) -> list[tuple[dict[int, set[str]], dict[int, tuple[int, str, str]]]]:
         """For each text, the kinds of its spoilt lines and line -> (next line, part, rest) of the words broken at its end.
@@ -581,12 +615,10 @@ class Repairer:
             if "page_number" in kinds.get(k, ()):
                 continue
             tokens = lines[k].split()
-            for i, t in enumerate(tokens):
-                if (i == 0 and (k, False) in edge) or (i == len(tokens) - 1 and (k, True) in edge):
-                    continue
-                if word_of(t) in self.fixes:
-                    kinds.setdefault(k, set()).add("misread")
-                    break
+            if (k, True) in edge:
+                tokens = tokens[:-1]
+            if any(map(self.spoilt.__getitem__, tokens[(k, False) in edge :])):
+                kinds.setdefault(k, set()).add("misread")
         return kinds, joins
 
     def fix(self, token: str) -> str:
@@ -664,53 +696,98 @@ def clean_starts(texts: DataFrame) -> list[str]:
     return sorted({r[0] for r in map_arrow(texts, fn, "text string").collect()})
 
 
-def fit_repairer(texts: DataFrame, names: DataFrame | None = None, max_fixes: int = 2_000_000, max_heads: int = 1_000_000) -> Repairer:
+def fit_repairer(texts: DataFrame, names: DataFrame | None = None, max_broadcast: int = 2_000_000) -> Repairer:
     """``texts``: every (text) of the corpus; ``names``: (name) of companies, for the training layouts.
 
-    What is broadcast is checked: corrections and pairs by ``max_fixes``, header keys by ``max_heads``.
+    Up to ``max_broadcast`` corrections, pairs and header keys are broadcast; more of them stay in a table that is joined to the texts.
     """
     counts = count_tables(texts.filter("text is not null and text <> ''"))
     fixes = stash(corrections(counts), "scan-fixes")
     broken = stash(judge_joins(counts, fixes), "scan-joins")
-    heads = counts.filter("kind = 'h'").select("a", "paged")
-    for df, most in ((fixes, max_fixes), (broken, max_fixes), (heads, max_heads)):
-        if (n := df.count()) > most:
-            raise ValueError(f"{n} decisions exceed the bound of {most} for a broadcast")
-    hashed = texts.filter(F.length("text") > 600).withColumn("h", F.xxhash64("text"))
+    nothing = F.lit("")
+    decisions = fixes.select(F.lit("w").alias("kind"), F.col("word").alias("a"), nothing.alias("b"), F.col("fixed").alias("v"), F.lit(0).cast("long").alias("n"))
+    decisions = decisions.union(broken.select(F.lit("p"), "a", "b", nothing, F.lit(0).cast("long"))).union(counts.filter("kind = 'h'").select("kind", "a", nothing, nothing, "paged"))
+    hashed = texts.filter(F.length("text") > FIT_LEAST).withColumn("h", F.xxhash64("text"))
     low = hashed.select("h").distinct().orderBy("h").limit(4 * FIT_TEXTS).agg(F.max("h")).first()[0]
     sample = clean_starts(hashed.filter(F.col("h") <= F.lit(low)).select("text")) if low is not None else []
     clean = sample[:FIT_TEXTS]
-    titles = [r[0] for r in names.filter("name is not null").select("name").distinct().orderBy("name").limit(200).collect()] if names is not None else []
+    titles = [r[0] for r in names.filter("name is not null").select("name").distinct().orderBy("name").limit(FIT_NAMES).collect()] if names is not None else []
     rnd = random.Random(8)
     header, number = train_furniture([(consistent(t), rnd.choice(titles or ["Example Holdings Plc"])) for t in clean])
-    return Repairer({r[0]: r[1] for r in fixes.collect()}, {(r[0], r[1]) for r in broken.collect()}, {r[0]: r[1] for r in heads.collect()}, header, number)
+    if decisions.count() > max_broadcast:
+        return Repairer({}, set(), {}, header, number, decisions)
+    return Repairer(*_split_decisions(decisions.toArrow().to_pylist()), header, number)
+
+
+def _split_decisions(rows: list[dict]) -> tuple[dict[str, str], set[tuple[str, str]], dict[str, int]]:
+    """Corrections, broken pairs and header keys of (kind, a, b, v, n)."""
+    return {r["a"]: r["v"] for r in rows if r["kind"] == "w"}, {(r["a"], r["b"]) for r in rows if r["kind"] == "p"}, {r["a"]: r["n"] for r in rows if r["kind"] == "h"}
+
+
+def with_decisions(texts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``texts`` with ``__decisions``: those on the words, pairs and line keys of each text; equal texts are looked up once."""
+    key = lambda df: df.withColumns({"__h": F.xxhash64("text"), "__h2": F.xxhash64("text", F.lit(17))})
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], []]
+        for h, h2, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            lines = lines_of(t)
+            lines = [lines[k] for k in paged_lines(lines)]
+            asked = {("w", word_of(x), "") for l in lines for x in l.split()} | {("h", key_of(l), "") for l in lines}
+            for _, _, a, b in hyphen_pairs(lines, repeats(lines)):
+                asked |= {("p", a, b), ("w", a + b, "")}
+            for kind, a, b in asked:
+                for col, v in zip(out, (h, h2, kind, a, b)):
+                    col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "h2", "kind", "a", "b"])
+
+    once = key(texts.filter("text is not null and text <> ''").select("text").distinct()).select("__h", "__h2", "text")
+    asked = map_arrow(once, fn, "h long, h2 long, kind string, a string, b string")
+    found = asked.join(decisions, ["kind", "a", "b"]).groupBy("h", "h2").agg(F.collect_list(F.struct("kind", "a", "b", "v", "n")).alias("__decisions"))
+    return key(texts).join(found, F.expr("__h = h and __h2 = h2"), "left").select(*texts.columns, "__decisions")
+
+
+def map_texts(texts: DataFrame, repairer: Repairer, fn, schema) -> DataFrame:
+    """``fn(repairer, batch)`` over ``texts``, the repairer having the decisions that the texts of the batch need."""
+    tables, repairer.decisions = repairer.decisions, None
+    shared = texts.sparkSession.sparkContext.broadcast(repairer)
+    repairer.decisions = tables
+    if tables is None:
+        return map_arrow(texts, lambda batch: fn(shared.value, batch), schema)
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        base = shared.value
+        rows = [r for part in batch.column(batch.num_columns - 1).to_pylist() for r in part or ()]
+        own = Repairer(*_split_decisions(rows), base.header, base.number)
+        return fn(own, pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]))
+
+    return map_arrow(with_decisions(texts, tables), joined, schema)
 
 
 def spoilt_lines(texts: DataFrame, repairer: Repairer) -> DataFrame:
     """(src, rec_id, line_no, kind) of ``texts`` (src, rec_id, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(repairer)
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(repairer: Repairer, batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
         laid = [(src, rec, at, lines) for src, rec, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if (at := paged_lines(lines := lines_of(t)))]
-        for (src, rec, at, _), (kinds, _) in zip(laid, shared.value.judge_all([[lines[k] for k in at] for _, _, at, lines in laid])):
+        for (src, rec, at, _), (kinds, _) in zip(laid, repairer.judge_all([[lines[k] for k in at] for _, _, at, lines in laid])):
             for k, found in kinds.items():
                 for kind in found:
                     for col, v in zip(out, (src, rec, at[k], kind)):
                         col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.string(), pa.int64(), pa.int32(), pa.string()])], names=["src", "rec_id", "line_no", "kind"])
 
-    return map_arrow(texts.filter("text is not null and text <> ''").select("src", "rec_id", "text"), fn, "src string, rec_id long, line_no int, kind string").distinct()
+    return map_texts(texts.filter("text is not null and text <> ''").select("src", "rec_id", "text"), repairer, fn, "src string, rec_id long, line_no int, kind string").distinct()
 
 
-def repair_texts(texts: DataFrame, repairer: Repairer, text: str = "text") -> DataFrame:
-    """``texts`` with ``text`` repaired."""
-    shared = texts.sparkSession.sparkContext.broadcast(repairer)
-    at = texts.columns.index(text)
+def repair_texts(texts: DataFrame, repairer: Repairer) -> DataFrame:
+    """``texts`` with the column ``text`` repaired."""
+    at = texts.columns.index("text")
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(repairer: Repairer, batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(batch.columns)
-        cols[at] = pa.array(shared.value.repair_all(cols[at].to_pylist()), pa.string())
+        cols[at] = pa.array(repairer.repair_all(cols[at].to_pylist()), pa.string())
         return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return map_arrow(texts, fn, texts.schema)
+    return map_texts(texts, repairer, fn, texts.schema)

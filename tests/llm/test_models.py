@@ -117,6 +117,10 @@ def test_scan_repair(spark):
     first = next(iter(spoilt))
     assert "Annual Report 2023" not in out[first] and "\n- 1 -" not in out[first]
     assert out[1] == texts[1] and out[900] is None and out[901] == "" and out[902] == "one line"
+    joined = scans.fit_repairer(df, names, max_broadcast=0)
+    assert joined.decisions is not None and not joined.fixes
+    assert {(r["rec_id"], r["line_no"], r["kind"]) for r in scans.spoilt_lines(df, joined).collect()} == got
+    assert {r["rec_id"]: r["text"] for r in scans.repair_texts(df, joined).collect()} == out
     empty = scans.fit_repairer(df.limit(0))
     assert scans.spoilt_lines(df.limit(0), empty).count() == 0
 
