@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,14 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """One folder in the shared one for all that this application writes; ``clean_up`` removes it, at the end at the latest."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/corpusloom-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(clean_up, spark)
+    return _RUNS[app]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what was stashed; results that were not yet written can't be read after it."""
+    try:
+        path = _RUNS.pop(spark.sparkContext.applicationId, None)
+        if path:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    except Exception:  # the session has ended: a shared folder outlives it, a local one is removed by the interpreter
+        pass
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,28 +72,26 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def ranked(df: DataFrame, group: list[str], order: list, out: str, salt_on: str, per_bucket: int = 200_000) -> DataFrame:
-    """Rank from 0 of each row within ``group``, in the order of a salted bucket and then of ``order``.
+def ranked(df: DataFrame, group: list[str], key: Column, ties: list[str], out: str, per_bucket: int = 200_000) -> DataFrame:
+    """Rank from 0 of each row within ``group``, in the order of the hash ``key`` (unsigned) and then of ``ties``.
 
-    No group is sorted in one task: rows are ranked within (group, bucket) and shifted by the
-    sizes of the buckets before. Buckets are a hash of ``salt_on``; their number follows the size of the
-    largest group, so a bucket holds about ``per_bucket`` rows at any scale.
+    No group is sorted in one task: rows are ranked within (group, bucket) and shifted by the sizes of the buckets before.
+    Buckets are ranges of the hash, so their number, which follows the size of the largest group, doesn't change the order.
     """
-    from pyspark.sql import Window
-
     top = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     n = max(1, -(-top // per_bucket))
-    df = df.withColumn("__b", F.pmod(F.xxhash64(salt_on, F.lit(11)), F.lit(n)).cast("int"))
-    inner = Window.partitionBy(*group, "__b").orderBy(*order)
+    df = df.withColumn("__h", F.shiftrightunsigned(key, 1))
+    df = df.withColumn("__b", F.floor(F.shiftrightunsigned("__h", 32) * n / float(1 << 31)).cast("int"))
+    inner = Window.partitionBy(*group, "__b").orderBy("__h", *ties)
     df = df.withColumn("__r", F.row_number().over(inner) - 1)
     if n == 1:
-        return df.withColumn(out, F.col("__r").cast("long")).drop("__b", "__r")
+        return df.withColumn(out, F.col("__r").cast("long")).drop("__h", "__b", "__r")
     sizes = df.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     sizes = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     sizes = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__sb"), "__off")
     same = F.col("__b") == F.col("__sb")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    keep = [c for c in df.columns if c not in ("__b", "__r")]
+    keep = [c for c in df.columns if c not in ("__h", "__b", "__r")]
     return df.join(sizes, same).select(*keep, (F.col("__off") + F.col("__r")).cast("long").alias(out))

@@ -36,14 +36,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def without_furniture(text: str) -> list[str]:
-    """The text in each form without page furniture, none for a text that has none.
+    """The text in each form without page furniture, none for a text that has none; long texts and short ones alike.
 
     Left out are page numbers and short lines whose letters come back, in one form all of them, in others only those that come
     back at least so often; so a passage that is carried twice stays in a form without the headers between its lines.
     """
     lines = text.split("\n")
-    if len(lines) < 12:
-        return []
     short = [(k, "".join(_LETTERS.findall(l.lower()))) for k, l in enumerate(lines) if l.strip() and len(l) <= 100]
     seen = Counter(key for _, key in short if key)
     numbers = {k for k, key in short if not (key and len(key) > 4) and len(lines[k]) < 24 and re.fullmatch(r"\W*(?:page\W*)?(?:\d{1,4}|[ivxl]+)(?:\W*(?:of|/)\W*\d{1,4})?\W*", lines[k], re.I)}
@@ -64,7 +62,7 @@ def quick_words(text: str) -> list[bytes]:
 
 def words_of(text: str) -> list[bytes]:
     """The words of a text without its page furniture."""
-    return quick_words(next(iter(without_furniture(text)), text)) if text.count("\n") > 8 else quick_words(text)
+    return quick_words(next(iter(without_furniture(text)), text))
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -163,7 +161,7 @@ def matches(items: Items, text: str, min_words: int, per_change: int) -> list[in
         return []
     out: set[int] = set()
     _verify(items, ids, seeds, at, min_words, per_change, out)
-    for form in without_furniture(text) if text.count("\n") > 8 else ():
+    for form in without_furniture(text):
         ids = np.array([get(w, -1) for w in quick_words(form)], dtype=np.int64)
         _verify(items, ids, *_seeds(items, ids), min_words, per_change, out)
     return sorted(out)
@@ -197,21 +195,21 @@ def _verify(items: Items, ids: np.ndarray, seeds: np.ndarray, at: np.ndarray, mi
             out.add(i)
 
 
-def find_leaks(corpus: DataFrame, tests: DataFrame, id_col: str, item_col: str, text: str = "text", item_text: str = "text", n: int = GRAM, min_words: int = MIN_WORDS, per_change: int = PER_CHANGE, block: int = 20_000) -> DataFrame:
+def find_leaks(corpus: DataFrame, tests: DataFrame, id_col: str, item_col: str, text: str = "text", item_text: str = "text", n: int = GRAM, min_words: int = MIN_WORDS, per_change: int = PER_CHANGE, block_chars: int = 32_000_000) -> DataFrame:
     """(id, item) for each test item that is in a document whole or in part.
 
-    Items are read in blocks of ``block``, so what is broadcast at once is bounded (about 100 bytes a word); each block is
-    one scan of the corpus.
+    Items are read in blocks of about ``block_chars`` characters, so what is collected and broadcast at once is bounded (about 20 bytes
+    a character); each block is one scan of the corpus.
     """
     spark = corpus.sparkSession
     kind, item_kind = dict(corpus.dtypes)[id_col], dict(tests.dtypes)[item_col]
     source = corpus.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     rows = tests.filter(F.col(item_text).isNotNull()).select(item_col, item_text)
-    n_items = rows.count()
+    n_blocks = max(1, -(-(rows.agg(F.sum(F.length(item_text))).first()[0] or 0) // block_chars))
     schema = f"id {kind}, item {item_kind}"
     result = None
-    for b in range(max(1, -(-n_items // block))):
-        part = rows if n_items <= block else rows.filter(F.pmod(F.xxhash64(item_col), F.lit(-(-n_items // block))) == b)
+    for b in range(n_blocks):
+        part = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64(item_col, item_text), F.lit(n_blocks)) == b)
         shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in part.collect()], n))
 
         def fn(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:

@@ -14,10 +14,12 @@ rows are separate items; other columns are ignored; an empty table gives no rows
 from __future__ import annotations
 
 import base64
+import os
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,12 @@ def _counter(path: str) -> Counter:
 
 
 def token_lengths(df: DataFrame, id_col: str, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(id, n_tokens) of every row, over whole texts."""
+    """(id, n_tokens) of every row, over whole texts. The vocabulary is read where the driver finds it and shipped to the executors."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        count = _counter(vocabulary).count
+        count = _counter(SparkFiles.get(name)).count
         n = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
 
@@ -111,7 +115,8 @@ def pack(df: DataFrame, id_col: str, text: str = "text", capacity: int = CAPACIT
     """(id, n_tokens, n_pieces, piece, first_token, length, container) for every piece of every item.
 
     Container numbers start at 0; full pieces of oversized items have containers of their own, numbered
-    after the packed ones by (rank of the item among oversized ones).
+    after the packed ones by (rank of the item among oversized ones). At most ``max_ranges`` ranges are broadcast at once; more are
+    applied block by block.
     """
     sizes = stash(token_lengths(df, id_col, text, vocabulary), "token-lengths").filter("n_tokens > 0")
     sizes = sizes.withColumn("n_pieces", F.ceil(F.col("n_tokens") / capacity).cast("int"))
@@ -120,21 +125,32 @@ def pack(df: DataFrame, id_col: str, text: str = "text", capacity: int = CAPACIT
     pieces = pieces.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("first_token")))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     ranges, _ = shortest_pack_first(histogram, capacity)
-    if len(ranges) > max_ranges:
-        raise ValueError(f"{len(ranges)} ranges exceed max_ranges={max_ranges}")
     ranges.sort()
     width = 1 << 40
-    starts = np.array([a * width + b for a, b, _, _ in ranges], dtype=np.int64)
-    shift = np.array([c - b for _, b, _, c in ranges], dtype=np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((starts, shift))
-    rows = ranked(pieces, ["length"], [F.xxhash64("id"), "id", "piece"], "rank", "id")
+    rows = ranked(pieces, ["length"], F.xxhash64("id"), ["id", "piece"], "rank")
     names = ["id", "n_tokens", "n_pieces", "piece", "first_token", "length"]
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        starts, shift = shared.value
-        rank = batch.column("rank").to_numpy()
-        at = np.searchsorted(starts, batch.column("length").to_numpy() * width + rank, side="right") - 1
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shift[at] + rank if len(at) else rank)], names=[*names, "container"])
-
     kind = dict(df.dtypes)[id_col]
-    return map_arrow(rows.select(*names, "rank"), fn, f"id {kind}, n_tokens long, n_pieces int, piece int, first_token long, length long, container long").withColumnRenamed("id", id_col)
+
+    def placed(part: DataFrame, some: list[tuple[int, int, int, int]]) -> DataFrame:
+        starts = np.array([a * width + b for a, b, _, _ in some], dtype=np.int64)
+        shift = np.array([c - b for _, b, _, c in some], dtype=np.int64)
+        shared = df.sparkSession.sparkContext.broadcast((starts, shift))
+
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            starts, shift = shared.value
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(starts, batch.column("length").to_numpy() * width + rank, side="right") - 1
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shift[at] + rank if len(at) else rank)], names=[*names, "container"])
+
+        return map_arrow(part.select(*names, "rank"), fn, f"id {kind}, n_tokens long, n_pieces int, piece int, first_token long, length long, container long").withColumnRenamed("id", id_col)
+
+    if len(ranges) <= max_ranges:
+        return placed(rows, ranges)
+    out = None
+    for lo in range(0, len(ranges), max_ranges):  # pieces find their range by (length, rank)
+        some, ahead = ranges[lo : lo + max_ranges], ranges[lo + max_ranges : lo + max_ranges + 1]
+        after = lambda r: (F.col("length") > r[0]) | ((F.col("length") == r[0]) & (F.col("rank") >= r[1]))
+        part = placed(rows.filter(after(some[0]) & ~after(ahead[0]) if ahead else after(some[0])), some)
+        out = part if out is None else out.union(part)
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import consensus, leakage, packing, personal, sampling, scans, site_lines, splits, splitting, text_form
 from ..plans import sqltext as S
-from .common import read
+from .common import read, run_dir
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +43,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return text_form.look_alike_pairs(read(spark, d, "documents"), "doc_id")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose text has several spellings, each with its class and spelling."""
+    out = text_form.look_alike_classes(read(spark, d, "documents"), "doc_id")
+    return out.select("doc_id", F.hex("form").alias("class"), F.hex("raw").alias("spelling"))
+
+
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return text_form.to_consistent(read(spark, d, "documents").select("doc_id", "text"))
 
@@ -84,23 +92,34 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = _splits(spark, d)
-    queue = read(spark, d, "annotation_queue").select("row_id", F.col("ticker").alias("written"))
-    return rows.join(queue, "row_id").filter("listed is not null and not (written <=> listed)").select("row_id", F.col("listed").alias("ticker")).distinct()
+    return splits.misspelt_tickers(_splits(spark, d)[0], "row_id")
 
 
 def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return splits.rows_with_splits(read(spark, d, "annotation_queue"), read(spark, d, "companies"), read(spark, d, "split_shares"), "row_id")
+    path = f"{run_dir(spark)}/splits-{uuid.uuid4().hex}"
+    return splits.rows_with_splits(read(spark, d, "annotation_queue"), read(spark, d, "companies"), read(spark, d, "split_shares"), "row_id", path)
 
 
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:
-    return _splits(spark, d)[0]
+    return _splits(spark, d)[0].select("row_id", "passage_id", "listed", "split")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d)[2]
 
 
+def p7_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The queue in two deliveries, the second of which finds the tables the first one left: (row_id, passage_id, delivery, split)."""
+    queue, companies, shares = (read(spark, d, t) for t in ("annotation_queue", "companies", "split_shares"))
+    path, out = f"{run_dir(spark)}/splits-{uuid.uuid4().hex}", None
+    middle = queue.agg(F.avg("row_id")).first()[0] or 0.0
+    for k, part in enumerate((F.col("row_id") <= middle, F.col("row_id") > middle)):
+        rows = splits.rows_with_splits(queue.filter(part), companies, shares, "row_id", path)[0]
+        rows = rows.select("row_id", "passage_id", F.lit(k).alias("delivery"), "split")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), "doc_id").filter("n_pieces > 1").select("doc_id").distinct()
 

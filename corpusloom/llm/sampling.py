@@ -1,10 +1,10 @@
 """Problem 4: a sample that matches target category proportions.
 
 Documents are the distinct text paths; category spellings are brought to one form first. Quotas are
-allocated top-down over the tree sector > year > doc_type: each cell first gets the larger of its minimum and
-its share of the sample, as far as it has documents; what it can't give passes to its siblings (same sector and
-year), then to its cousins (same sector), then to the rest. At the leaves, documents are drawn by their
-rank under a seeded permutation.
+allocated top-down over the tree sector > year > doc_type: each node hands its quota to its children in proportion to
+their shares by largest remainder, no child getting less than its minima or more than its documents; what a cell can't
+give so passes to its siblings (same sector and year), then to its cousins (same sector), then to the rest. At the
+leaves, documents are drawn by their rank under a seeded permutation.
 
 Defined results: a null category belongs to no target cell; a null path is no document; a document listed
 several times counts once, under its smallest non-null categories; an empty table gives quotas of 0; a cell repeated in
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ranked, stash
 
 LEVELS = ("sector", "year", "doc_type")
+BROADCAST_CELLS = 100_000
 
 
 def _plain(c: str) -> F.Column:
@@ -45,36 +46,54 @@ def distinct_documents(index: DataFrame, path: str = "text_path") -> DataFrame:
     return rows.groupBy("path").agg(*[F.min(c).alias(c) for c in LEVELS])
 
 
+def apportion(q: int, weights: list[float], low: list[int], high: list[int]) -> list[int]:
+    """Whole numbers in proportion to ``weights``, each within its bounds, that sum to ``q`` as far as the bounds allow.
+
+    What a bound takes from one goes to the others in proportion; fractions are given by largest remainder, ties to the first.
+    """
+    q = min(max(q, sum(low)), sum(high))
+    w = [max(x, 1e-12) for x in weights]
+    clamp = lambda m: [min(max(m * x, lo), hi) for x, lo, hi in zip(w, low, high)]
+    lo, hi = 0.0, (q + 1) / min(w, default=1.0)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(clamp(mid)) < q else (lo, mid)
+    exact = clamp(hi)
+    out = [int(x + 1e-6) for x in exact]
+    rest = q - sum(out)
+    for i in sorted(range(len(w)), key=lambda i: (-round(exact[i] - out[i], 6), i)):
+        if rest > 0 and out[i] < high[i]:
+            out[i], rest = out[i] + 1, rest - 1
+    return out
+
+
 def allocate(cells: list[dict], n: float) -> None:
-    """Sets ``need``, ``quota`` and ``passed_in`` of each cell, which has key, share, min_count and available."""
+    """Sets ``need``, ``quota`` and ``passed_in`` of each cell, which has key, share, min_count and available.
+
+    From the root down, each node hands its quota to its children in proportion to their shares, within what their cells have and need
+    at least. So what a cell can't give goes to its siblings, what they can't to its cousins, and the quotas sum to ``n``
+    (rounded) unless all cells together have less or their minima ask for more.
+    """
     for c in cells:
         c["need"] = max(c["min_count"], c["share"] * n)
-        c["quota"] = min(c["available"], int(-(-c["need"] // 1)) if c["min_count"] >= c["share"] * n else round(c["need"]))
-        c["unmet"] = max(0, round(c["need"]) - c["available"])
-        c["passed_in"] = 0
-    room = lambda c: c["available"] - c["quota"]
-    for depth in (2, 1, 0):  # siblings, cousins, the rest
+        c["least"] = min(c["min_count"], c["available"])
+
+    def hand_down(members: list[dict], q: int, depth: int) -> None:
         groups = defaultdict(list)
-        for c in cells:
-            groups[c["key"][:depth]].append(c)
-        for members in groups.values():
-            unmet = sum(c["unmet"] for c in members)
-            give = min(unmet, sum(map(room, members)))
-            total = sum(map(room, members))
-            if not give:
-                continue
-            parts = [(c, give * room(c) / total) for c in members]
-            got = [(c, min(int(p), room(c)), p - int(p)) for c, p in parts]
-            rest = give - sum(k for _, k, _ in got)
-            for c, k, frac in sorted(got, key=lambda x: (-x[2], x[0]["key"])):
-                k += 1 if (more := rest > 0 and k < room(c)) else 0
-                rest -= more
-                c["quota"] += k
-                c["passed_in"] += k
-            for c in sorted(members, key=lambda c: c["key"]):
-                taken = min(c["unmet"], give)
-                c["unmet"] -= taken
-                give -= taken
+        for c in members:
+            groups[c["key"][: depth + 1]].append(c)
+        keys = sorted(groups, key=lambda k: tuple(map(str, k)))
+        total = lambda k, x: sum(c[x] for c in groups[k])
+        parts = apportion(q, [total(k, "share") for k in keys], [total(k, "least") for k in keys], [total(k, "available") for k in keys])
+        for k, part in zip(keys, parts):
+            if depth + 1 < len(LEVELS):
+                hand_down(groups[k], part, depth + 1)
+            else:
+                groups[k][0]["quota"] = part
+
+    hand_down(cells, int(n + 0.5), 0)
+    for c in cells:
+        c["passed_in"] = max(0, c["quota"] - int(c["need"] + 0.5))
 
 
 def sample(index: DataFrame, targets: DataFrame, fraction: float = 0.3, seed: int = 7, path: str = "text_path") -> tuple[DataFrame, DataFrame]:
@@ -95,7 +114,7 @@ def sample(index: DataFrame, targets: DataFrame, fraction: float = 0.3, seed: in
     rows = [(*c["name"], float(c["share"]), int(c["min_count"]), int(c["available"]), float(c["need"]), int(c["quota"]), int(c["passed_in"]), c["available"] + 1e-9 < c["need"], *c["key"]) for c in cells]
     report = spark.createDataFrame(rows, "sector string, year string, doc_type string, share double, min_count int, available long, needed double, quota long, passed_in long, short boolean, k0 string, k1 string, k2 string")
     leaf = report.filter("quota > 0").select("k0", "k1", "k2", "quota")
-    mine = docs.join(F.broadcast(leaf), F.expr("sector = k0 and year = k1 and doc_type = k2")).drop("k0", "k1", "k2")  # a row per target cell
-    order = F.xxhash64(F.lit(seed), "path")
-    drawn = ranked(mine, list(LEVELS), [order, "path"], "rank", "path").filter("rank < quota").select("path", *LEVELS, "rank")
+    leaf = F.broadcast(leaf) if len(rows) <= BROADCAST_CELLS else leaf
+    mine = docs.join(leaf, F.expr("sector = k0 and year = k1 and doc_type = k2")).drop("k0", "k1", "k2")
+    drawn = ranked(mine, list(LEVELS), F.xxhash64(F.lit(seed), "path"), ["path"], "rank").filter("rank < quota").select("path", *LEVELS, "rank")
     return drawn.withColumnRenamed("path", path), report.drop("k0", "k1", "k2")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 MIN_DOCS, MIN_SHARE = 3, 0.2
+# Lists of repeated lines are broadcast up to this number of lines; beyond it they are joined, a source's documents in parts.
+MAX_BROADCAST, PARTS = 500_000, 64
 
 
 def _keys(text: F.Column) -> F.Column:
@@ -48,22 +50,30 @@ def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     counts = lines.groupBy("source", "key").agg(F.sum("w").alias("n_docs"), F.count("*").alias("n_clusters"))
     counts = counts.filter((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters))
     often = stash(counts.join(totals, "source").filter(F.col("n_docs") + 1e-9 >= min_share * F.col("source_docs")), "line-counts")
-    lists = _by_source(often)
-    dated = clusters.join(lists, "source").select("source", "day", alone, F.explode(F.array_intersect("set", "drop")).alias("key")).distinct()
+    dated = with_lists(clusters, often).filter("drop is not null").select("source", "day", alone, F.explode(F.array_intersect("set", "drop")).alias("key")).distinct()
     dates = dated.groupBy("source", "key").agg(F.count("day").alias("n_dates"), F.count("alone").alias("n_alone"))
     return often.join(dates, ["source", "key"]).filter(F.col("n_dates") + F.col("n_alone") >= min_dates).drop("n_alone")
 
 
-def _by_source(repeated: DataFrame) -> DataFrame:
-    """(source, drop): a source has at most 1 / min_share times its mean number of lines per document."""
-    return repeated.groupBy("source").agg(F.collect_set("key").alias("drop"))
+def with_lists(rows: DataFrame, repeated: DataFrame, source: str = "source", max_broadcast: int | None = None) -> DataFrame:
+    """``rows`` with ``drop``, the repeated lines of their source (null for none).
+
+    A source has at most 1 / min_share times its mean number of lines per document, so a list is small. Where all lists together are
+    too large to broadcast, each is copied to ``PARTS`` parts among which the documents of its source are spread.
+    """
+    lists = repeated.groupBy(F.col("source").alias("__source")).agg(F.collect_set("key").alias("drop"))
+    if repeated.count() <= (MAX_BROADCAST if max_broadcast is None else max_broadcast):
+        return rows.join(F.broadcast(lists), F.col(source) == F.col("__source"), "left").drop("__source")
+    lists = lists.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    spread = rows.withColumn("__spread", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if t in ("bigint", "string", "int")]), F.lit(PARTS)).cast("int"))
+    return spread.join(lists, (F.col(source) == F.col("__source")) & (F.col("__spread") == F.col("__part")), "left").drop("__source", "__part", "__spread")
 
 
 def repeated_occurrences(df: DataFrame, id_col: str, source: str, date: str | None, text: str = "text", **rule) -> DataFrame:
     """(id, line_no) of every line that is repeated within its source."""
     keys = stash(line_keys(df, id_col, source, date, text), "line-keys")
-    lists = _by_source(repeated_lines(keys, **rule))
-    hits = keys.select("id", "source", "keys").join(lists, "source").withColumn("hit", F.expr("transform(keys, k -> k is not null and array_contains(drop, k))"))
+    found = stash(repeated_lines(keys, **rule).select("source", "key"), "line-repeated")
+    hits = with_lists(keys.select("id", "source", "keys"), found).filter("drop is not null").withColumn("hit", F.expr("transform(keys, k -> k is not null and array_contains(drop, k))"))
     out = hits.select("id", F.posexplode("hit").alias("line_no", "hit")).filter("hit").select(F.col("id").alias(id_col), "line_no")
     return out.distinct()
 
@@ -75,8 +85,10 @@ def remove_site_lines(df: DataFrame, id_col: str, source: str, date: str | None,
     """
     rule = {"min_clusters": 2, "min_dates": 2} | rule
     keys = stash(line_keys(df, id_col, source, date, text), "line-keys")
-    lists = _by_source(repeated_lines(keys, **rule)).toDF("__source", "__drop")
-    rows = df.join(lists, df[source] == lists["__source"], "left").withColumn("__lines", F.split(text, "\n", -1)).withColumn("__keys", _keys(F.col(text)))
-    kept = F.expr("array_join(filter(__lines, (l, i) -> not (__keys[i] is not null and array_contains(__drop, __keys[i]))), '\n')")
-    clean = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept)
-    return rows.withColumn(text, clean).select(*df.columns)
+    found = stash(repeated_lines(keys, **rule).select("source", "key"), "line-repeated")
+    taken = [F.col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)]  # a column of the table may be named like one of ours
+    t, by = f"__c{df.columns.index(text)}", f"__c{df.columns.index(source)}"
+    rows = with_lists(df.select(*taken), found, by).withColumn("__lines", F.split(t, "\n", -1)).withColumn("__keys", _keys(F.col(t)))
+    kept = F.expr("array_join(filter(__lines, (l, i) -> not (__keys[i] is not null and array_contains(drop, __keys[i]))), '\n')")
+    clean = F.when(F.col("drop").isNull(), F.col(t)).otherwise(kept)
+    return rows.withColumn(t, clean).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -190,20 +190,27 @@ def form_keys(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     return map_arrow(df.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")), fn, f"id {kind}, raw binary, form binary")
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+def look_alike_classes(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """(id, form, raw): the class (128-bit form) and the spelling (128-bit raw) of each id whose class has several spellings."""
+    keys = stash(form_keys(df, id_col, text).distinct(), "form-keys")
+    mixed = keys.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("form")
+    return stash(keys.join(mixed, "form", "left_semi"), "form-mixed").select(F.col("id").alias(id_col), "form", "raw")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str, text: str = "text", per_part: int = 1_000) -> DataFrame:
     """Pairs of ids, smaller first, whose texts have the same consistent form but other characters.
 
-    Exact copies are first collapsed into classes (form, raw), so that a text stored in any number of copies
-    costs no comparison with itself; only forms with several stored texts are joined.
+    Exact copies are first collapsed into spellings of a class, so that a text stored in any number of copies costs no comparison with
+    itself. Pairs of spellings are expanded to pairs of ids in blocks of ``per_part`` ids by ``per_part``, so no spelling with many
+    copies is expanded in one task.
     """
-    keys = stash(form_keys(df, id_col, text).distinct(), "form-keys")
-    classes = keys.groupBy("form", "raw").agg(F.count("*").alias("n"))
-    mixed = classes.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1").select("form")
-    some = stash(keys.join(mixed, "form", "left_semi"), "form-mixed")
-    kinds = some.select("form", "raw").distinct()
-    a, b = kinds.toDF("form", "raw_a"), kinds.toDF("form", "raw_b")
+    some = look_alike_classes(df, id_col, text).withColumnRenamed(id_col, "id")
+    kinds = some.groupBy("form", "raw").agg(F.ceil(F.count("*") / per_part).cast("int").alias("k"))
+    a, b = kinds.toDF("form", "raw_a", "ka"), kinds.toDF("form", "raw_b", "kb")
     pairs = a.join(b, "form").filter(F.col("raw_a") < F.col("raw_b"))
-    left = some.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("ia"))
-    right = some.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("ib"))
-    out = pairs.join(left, ["form", "raw_a"]).join(right, ["form", "raw_b"])
+    pairs = pairs.withColumn("pa", F.explode(F.expr("sequence(0, ka - 1)"))).withColumn("pb", F.explode(F.expr("sequence(0, kb - 1)"))).drop("ka", "kb")
+    parts = some.join(kinds, ["form", "raw"]).withColumn("p", F.pmod(F.xxhash64("id", F.lit(23)), F.col("k")).cast("int"))
+    left = parts.select("form", F.col("raw").alias("raw_a"), F.col("p").alias("pa"), F.col("id").alias("ia"))
+    right = parts.select("form", F.col("raw").alias("raw_b"), F.col("p").alias("pb"), F.col("id").alias("ib"))
+    out = pairs.join(left, ["form", "raw_a", "pa"]).join(right, ["form", "raw_b", "pb"])
     return out.filter("ia <> ib").select(F.least("ia", "ib").alias(f"{id_col}_a"), F.greatest("ia", "ib").alias(f"{id_col}_b")).distinct()

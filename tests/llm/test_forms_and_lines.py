@@ -66,6 +66,11 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, form string")
     assert sorted(map(tuple, text_form.look_alike_pairs(df, "doc_id").collect())) == [(1, 2), (2, 3)]
     assert text_form.look_alike_pairs(df.limit(0), "doc_id").count() == 0
+    many = spark.createDataFrame([(i, "caf\u00e9" if i % 3 else "cafe\u0301") for i in range(30)], "doc_id long, text string")
+    want = sorted((a, b) for a in range(30) for b in range(a + 1, 30) if (a % 3 == 0) != (b % 3 == 0))
+    assert sorted(map(tuple, text_form.look_alike_pairs(many, "doc_id", per_part=4).collect())) == want
+    classes = text_form.look_alike_classes(many, "doc_id")
+    assert classes.count() == 30 and classes.select("form").distinct().count() == 1 and classes.select("raw").distinct().count() == 2
     out = text_form.to_consistent(df.withColumnRenamed("form", "raw"))
     assert out.columns == ["doc_id", "text", "raw"] and out.filter("text = 'café'").count() == 3 and out.filter("text is null").count() == 1
 
@@ -73,7 +78,7 @@ def test_look_alike_pairs(spark):
 # --- 5 ---
 
 
-def test_site_lines_as_by_hand(spark):
+def test_site_lines_as_by_hand(spark, monkeypatch):
     rnd = random.Random(1)
     rows = []
     for i in range(40):
@@ -103,6 +108,9 @@ def test_site_lines_as_by_hand(spark):
         gone = {n for d, n in want if d == i}
         assert clean[i] == (t if t is None else "\n".join(l for n, l in enumerate(t.split("\n")) if n not in gone))
     assert site_lines.repeated_occurrences(df.limit(0), "doc_id", "ticker", None).count() == 0
+    monkeypatch.setattr(site_lines, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, site_lines.repeated_occurrences(df, "doc_id", "ticker", None).collect())) == want
+    assert {r["doc_id"]: r["text"] for r in site_lines.remove_site_lines(df, "doc_id", "ticker", None).collect()} == clean
 
 
 def test_republished_article_is_no_boilerplate(spark):
@@ -200,6 +208,7 @@ def test_pack_frame(spark):
     big = sorted((r["first_token"], r["length"]) for r in out if r["doc_id"] == 900)
     assert sum(n for _, n in big) == 701 and big[0] == (0, 256)
     assert packing.pack(df.limit(0), "doc_id").count() == 0
+    assert sorted(map(tuple, packing.pack(df, "doc_id", capacity=256, max_ranges=2).collect())) == sorted(map(tuple, out))
 
 
 # --- 9 ---
@@ -225,7 +234,7 @@ def test_leaks(spark):
     tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
     got = leakage.find_leaks(docs, tests, "doc_id", "item_id")
     assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 1), (4, 2), (6, 4), (7, 5)]
-    blocks = leakage.find_leaks(docs, tests, "doc_id", "item_id", block=3)
+    blocks = leakage.find_leaks(docs, tests, "doc_id", "item_id", block_chars=60)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got.collect()))
     assert leakage.find_leaks(docs, tests.limit(0), "doc_id", "item_id").count() == 0
     assert leakage.remove_leaking(docs, got, "doc_id").filter("doc_id = 2").count() == 0
@@ -258,6 +267,15 @@ def test_reach_as_by_edit_distance():
         assert leakage._reach(a, b, 0, 0, 1, 4) == want == leakage._reach(a[::-1], b[::-1], len(a) - 1, len(b) - 1, -1, 4)
 
 
+@pytest.mark.parametrize("copies", [1, 2, 10])
+def test_a_wrapped_passage_leaks_in_any_number_of_copies(copies):
+    item = [f"{a}word{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    lines = [" ".join(item[k : k + 8]) for k in range(0, 64, 8)]
+    for sep in ([], ["12"], ["Page 3", "Zenon Bank Plc"]):
+        paged = [x for k, l in enumerate(lines) for x in ([l, *sep] if k % 3 == 1 else [l])]
+        assert leakage.matches(leakage.Items([(1, " ".join(item))]), "\n".join(paged * copies), 30, 12) == [0]
+
+
 @pytest.mark.parametrize("header", [None, "Zenon Bank Plc - Report"])
 def test_a_passage_carried_twice_leaks(header):
     item = [f"{a}word{b}" for a in "abcdefgh" for b in "abcdefgh"]

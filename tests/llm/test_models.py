@@ -207,15 +207,38 @@ def test_sample(spark):
 
 def test_ranks_in_buckets(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("g"))
-    one = ranked(df, ["g"], ["id"], "r", "id", per_bucket=50)
+    one, many = (ranked(df, ["g"], F.xxhash64("id"), ["id"], "r", per_bucket=b) for b in (50, 5_000))
     for _, k in one.groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("r")).collect():
         assert k == list(range(len(k)))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_quotas_sum_to_the_sample():
+    cells = lambda n, have: [{"key": (s, y, t), "share": 1 / n, "min_count": 0, "available": have} for s in range(3) for y in range(2) for t in range(3)]
+    even = cells(18, 1000)
+    sampling.allocate(even, 100)
+    assert sum(c["quota"] for c in even) == 100 and {c["quota"] for c in even} == {5, 6}
+    short = cells(18, 1000)
+    short[0]["available"] = 1
+    sampling.allocate(short, 180)
+    assert [c["quota"] for c in short] == [1, 15, 14] + [10] * 15 or sorted(c["quota"] for c in short[:3]) == [1, 14, 15] and all(c["quota"] == 10 for c in short[3:])
+    for c in short[:3]:
+        c["available"] = 1
+    sampling.allocate(short, 180)
+    assert sum(c["quota"] for c in short) == 180 and all(c["quota"] == 19 for c in short[3:6]) and all(c["quota"] == 10 for c in short[6:])
+    poor = cells(18, 3)
+    sampling.allocate(poor, 100)
+    assert all(c["quota"] == 3 for c in poor)
+    least = cells(18, 1000)
+    least[5].update(share=0.0, min_count=7)
+    sampling.allocate(least, 100)
+    assert least[5]["quota"] == 7 and sum(c["quota"] for c in least) == 100
 
 
 # --- 7 ---
 
 
-def test_splits_keep_components(spark):
+def test_splits_keep_components(spark, tmp_path):
     companies = spark.createDataFrame([(f"T{i}", f"Firm{i} Bank Plc") for i in range(30)], "ticker string, name string")
     shares = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
     rnd = random.Random(4)
@@ -227,7 +250,7 @@ def test_splits_keep_components(spark):
         listed[i] = (f"T{c}", written)
     rows += [(900, "lonely", None, None, "x"), (901, None, "??", None, "x")]
     df = spark.createDataFrame(rows, "row_id long, passage_id string, ticker string, company string, split string")
-    out, state, report = splits.rows_with_splits(df, companies, shares, "row_id")
+    out, state, report = splits.rows_with_splits(df, companies, shares, "row_id", path := f"{tmp_path}/tables")
     got = {r["row_id"]: r for r in out.collect()}
     assert all(got[i]["listed"] == t for i, (t, _) in listed.items()) and len(got) == 602
     for key in ("listed", "passage_id"):
@@ -237,18 +260,45 @@ def test_splits_keep_components(spark):
                 assert seen.setdefault(r[key], r["split"]) == r["split"]
     reached = {r["split"]: r["reached"] for r in report.collect()}
     assert abs(reached["train"] - 0.8) < 0.08
-    wrong = sorted(map(tuple, splits.misspelt_tickers(df, companies, "row_id").collect()))
+    wrong = sorted(map(tuple, splits.misspelt_tickers(out, "row_id").collect()))
     assert wrong == sorted((i, t) for i, (t, w) in listed.items() if w != t)
     # a later delivery: old components keep their split, a merge of two splits is quarantined
     old = {r["node"]: r["split"] for r in state.collect()}
     a = next(n for n, s in old.items() if s == "train" and n.startswith("T"))
     b = next(n for n, s in old.items() if s == "test" and n.startswith("T"))
-    more = spark.createDataFrame([(1000, "new", a, None, "x"), (1001, "new", b, None, "x"), (1002, "q", "T1", None, "x")], df.schema)
-    out2, state2, _ = splits.rows_with_splits(more, companies, shares, "row_id", state)
+    known = next(r for r in got.values() if r["listed"] == a)
+    more = [(1000, "new", a, None, "x"), (1001, "new", b, None, "x"), (1002, "q", "T1", None, "x"), (1003, known["passage_id"], None, None, "x"), (1004, "lonely", None, None, "x"), (1005, "other", a, None, "x"), (1006, None, b, None, "x"), (1007, "third", "T99", None, "x")]
+    out2, state2, _ = splits.rows_with_splits(spark.createDataFrame(more, df.schema), companies, shares, "row_id", path)
     after = {r["node"]: r["split"] for r in state2.collect()}
     assert all(after[n] == s for n, s in old.items())
     assert state2.filter(F.col("node").isin(a, b)).select("component").distinct().count() == 1
-    assert splits.rows_with_splits(df.limit(0), companies, shares, "row_id")[0].count() == 0
+    late = {r["row_id"]: r["split"] for r in out2.collect()}
+    assert late[1000] == late[1001] == "quarantine" and late[1003] == late[1005] == "train" and late[1006] == "test"
+    assert late[1004] == got[900]["split"] and late[1002] == old["T1"] and late[1007] in ("train", "validation", "test")
+    # the third one finds both
+    out3, state3, _ = splits.rows_with_splits(spark.createDataFrame([(2000, "new", None, None, "x"), (2001, "third", None, None, "x")], df.schema), companies, shares, "row_id", path)
+    assert {r["row_id"]: r["split"] for r in out3.collect()} == {2000: "quarantine", 2001: late[1007]}
+    assert splits.rows_with_splits(df.limit(0), companies, shares, "row_id", path)[0].count() == 0
+    assert {r["node"]: r["split"] for r in splits.SplitTables(spark, path).read()[0].collect()} == {r["node"]: r["split"] for r in state3.collect()}
+
+
+def test_sizes_are_placed_as_one_by_one():
+    rnd = random.Random(3)
+    for _ in range(200):
+        lack = {s: rnd.randint(-20, 200) for s in ("a", "b", "c")}
+        sizes = Counter(rnd.choice((1, 1, 1, 2, 5, 30)) for _ in range(rnd.randint(1, 80)))
+        slow, placed = dict(lack), Counter()
+        for n in sorted(sizes.elements(), reverse=True):
+            s = max(slow, key=lambda x: (slow[x], x))
+            slow[s] -= n
+            placed[n, s] += 1
+        fast = dict(lack)
+        ranges = splits.place_sizes(sizes, fast)
+        got = Counter()
+        for n, s, lo, hi in ranges:
+            got[n, s] += hi - lo
+        assert sum(got.values()) == sum(sizes.values())
+        assert sorted(fast.values()) == sorted(slow.values())
 
 
 def test_components_as_by_union_find(spark):
