@@ -56,9 +56,18 @@ TARGET_YEARS = (2020, 2021, 2022, 2023, 2024)
 MIN_CHARS, MAX_CHARS = 200, 40_000
 
 
+# White space of any kind, as the pattern class has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def one_space(c: Column) -> Column:
+    """Each run of white space as one space; runs that are one already are not touched."""
+    return F.regexp_replace(c, r"(?U) \s+|[^\S ]\s*", " ")
 
 
 @F.pandas_udf(StringType())
@@ -88,21 +97,21 @@ def drop_boilerplate(c: Column) -> Column:
 
 def repair_artifacts(c: Column) -> Column:
     """TXT-04, in this order."""
-    for p, r in ((r"(\w+)-\n(\w+)", "$1$2"), (" {3,}", "  "), (r"\n{3,}", "\n\n"), (r"\|{2,}", " "), (r"\.{4,}", " "), ("_{3,}", " "), (r"[\x{E000}-\x{F8FF}]", " ")):
+    for p, r in ((r"(\w)-\n(\w+)", "$1$2"), (" {3,}", "  "), (r"\n{3,}", "\n\n"), (r"\|{2,}", " "), (r"\.{4,}", " "), ("_{3,}", " "), (r"[\x{E000}-\x{F8FF}]", " ")):
         c = F.regexp_replace(c, f"(?uUd){p}", r)
     return c
 
 
 def currency_words(c: Column) -> Column:
     """TXT-05."""
-    for p, r in ((r"[N₦]'000", "(NGN thousands)"), (r"[N₦]'(million|billion)", "(NGN $1)"), (r"\bnaira\b", "NGN")):
+    for p, r in ((r"[N₦]'000", "(NGN thousands)"), (r"[N₦]'(million|billion)", "(NGN $1)"), (r"n(?<=\bn)aira\b", "NGN")):  # the letter first, then its boundary
         c = F.regexp_replace(c, f"(?iuU){p}", r)
     return c
 
 
 def paragraphs(c: Column) -> Column:
     """TXT-06: one line per paragraph, blank lines between; one that begins in lower case joins the one before."""
-    blocks = F.transform(F.split(c, r"(?U)\n\s*\n"), lambda b: strip(F.regexp_replace(b, r"(?U)\s+", " ")))
+    blocks = F.transform(F.split(c, r"(?U)\n\s*\n"), lambda b: strip(one_space(b)))
     return F.regexp_replace(F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n"), r"\n\n(?=\p{IsLowercase})", " ")
 
 
@@ -117,13 +126,13 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
 
 def quality(c: Column) -> Column:
     """TXT-09."""
-    letters = F.length(F.regexp_replace(c, r"(?U)[^\p{L}\s]", ""))
+    letters = F.length(F.regexp_replace(c, r"(?U)[^\p{L}\s]+", ""))
     forward, feeling = has_any(c, FORWARD_WORDS), has_any(c, SENTIMENT_WORDS)
     return (
         F.when(c.isNull() | (c == ""), "empty")
         .when(n_words(c) < 50, "poor")
         .when(letters / F.length(c) < 0.6, "poor")
-        .when(F.regexp_count(c, F.lit("[.!?]")) < 3, "poor")
+        .when(F.length(c) - F.length(F.translate(c, ".!?", "")) < 3, "poor")
         .when(forward & feeling, "good")
         .when(forward | feeling, "acceptable")
         .otherwise("poor")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,22 +30,28 @@ def chunks(c):
     return F.when(T.n_words(c) > LONG_WORDS, packed).otherwise(F.array(c))
 
 
-def extract_passages(sections: DataFrame) -> DataFrame:
-    """``sections`` (doc_id, ticker, year, section, text, quality) to one row per passage.
+# What an annotator fills in, null at first.
+LABEL_FIELDS = ("sentiment_label", "sentiment_intensity", "has_guidance", "guidance_type", "guidance_span", "annotator", "annotation_notes")
 
-    Only good and acceptable sections of SECTION_ORDER; the id formula repeats across documents, doc_id tells them apart.
+
+def extract_passages(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``sections`` (doc_id, ticker, year, section, text, quality, and what to ``keep``) to one row per passage, with empty label fields.
+
+    Only good and acceptable sections of SECTION_ORDER; the id formula repeats across documents, doc_id tells them apart. A
+    paragraph finds the next one in the array of its section, so nothing is shuffled.
     """
     base = sections.filter(F.col("section").isin(*SECTION_ORDER) & F.col("quality").isin("good", "acceptable"))
     paras = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda p: F.length(p) > MIN_PARAGRAPH_CHARS)
-    rows = base.select("doc_id", "ticker", "year", "section", F.posexplode(paras).alias("i", "p"))
-    follow = F.lead("p").over(Window.partitionBy("doc_id", "section").orderBy("i"))
-    rows = rows.withColumn("next", follow).withColumn("n", T.n_words(F.col("p"))).filter(F.col("n") >= MIN_WORDS)
+    rows = base.withColumn("__ps", paras)
+    both = F.transform("__ps", lambda p, i: F.struct(p.alias("p"), F.get("__ps", i + 1).alias("next")))
+    rows = rows.select("doc_id", "ticker", "year", "section", *keep, F.posexplode(both).alias("i", "__b"))
+    rows = rows.select("doc_id", "ticker", "year", "section", *keep, "i", "__b.p", "__b.next").withColumn("n", T.n_words(F.col("p"))).filter(F.col("n") >= MIN_WORDS)
     rows = rows.withColumn("p", F.when((F.col("n") < SHORT_WORDS) & F.col("next").isNotNull(), F.concat_ws("\n\n", "p", "next")).otherwise(F.col("p")))
-    rows = rows.select("doc_id", "ticker", "year", "section", "i", F.posexplode(chunks(F.col("p"))).alias("j", "text"))
+    rows = rows.select("doc_id", "ticker", "year", "section", *keep, "i", F.posexplode(chunks(F.col("p"))).alias("j", "text"))
     numeric = F.size(F.filter(_words(F.col("text")), lambda w: F.rlike(w, F.lit(r"(?U)\d"))))
     rows = rows.withColumn("word_count", T.n_words(F.col("text"))).filter((F.col("word_count") >= MIN_WORDS) & (numeric / F.col("word_count") <= MAX_NUMERIC))
     ident = F.concat_ws("_", "ticker", F.coalesce("year", F.lit("None")), "section", "i", "j")
-    return rows.select("doc_id", ident.alias("passage_id"), "ticker", "year", "section", "i", "j", "text", "word_count", T.quality(F.col("text")).alias("quality"), F.lit("pending").alias("annotation_status"))
+    return rows.select("doc_id", ident.alias("passage_id"), "ticker", "year", "section", *keep, "i", "j", "text", "word_count", T.quality(F.col("text")).alias("quality"), *[F.lit(None).cast("string").alias(c) for c in LABEL_FIELDS], F.lit("pending").alias("annotation_status"))
 
 
 def preserve_annotations(new: DataFrame, old: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:

@@ -30,18 +30,18 @@ def query(sql: str | None = None):
 SELECT doc_id, CASE WHEN {S.strip('text')} = '' THEN 'empty' WHEN length(t) < {T.MIN_CHARS} THEN 'too_short' WHEN length(t) > {T.MAX_CHARS} THEN 'truncated' ELSE {S.quality('t')} END AS quality,
   CAST(length(t) AS BIGINT) AS char_count, md5(CASE WHEN length(t) > {T.MAX_CHARS} THEN substring(t, 1, {T.MAX_CHARS}) || chr(10) || '[TRUNCATED]' ELSE t END) AS text_md5 FROM c""")
 def section_clean(spark: SparkSession, d: str) -> DataFrame:
-    out = T.clean_sections(table(spark, d, "documents").select("doc_id", "text"), unicode_form=False)
+    out = T.clean_sections(table(spark, d, "documents", spread=True).select("doc_id", "text"), unicode_form=False)
     return out.select("doc_id", "quality", F.col("char_count").cast("long").alias("char_count"), F.md5("text").alias("text_md5"))
 
 
 @query()
 def section_clean_unicode(spark: SparkSession, d: str) -> DataFrame:
-    return T.clean_sections(table(spark, d, "documents").select("doc_id", "text"))
+    return T.clean_sections(table(spark, d, "documents", spread=True).select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, CAST({S.words('text')} AS BIGINT) AS words, {S.quality('text')} AS quality FROM documents")
 def quality_class(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.n_words(F.col("text")).cast("long").alias("words"), T.quality(F.col("text")).alias("quality"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.n_words(F.col("text")).cast("long").alias("words"), T.quality(F.col("text")).alias("quality"))
 
 
 @query("SELECT registry_id, CASE " + " ".join(f"WHEN regexp_matches(t, {S.q('|'.join(w))}) THEN {S.q(n)}" for n, w in T.DOC_TYPES) + " ELSE 'other' END AS doc_type FROM (SELECT registry_id, lower(concat_ws(' ', title, url)) AS t FROM collection_registry)")
@@ -67,13 +67,13 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def narrative_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "collection_registry").filter("text is not null")
+    rows = table(spark, d, "collection_registry", spread=True).filter("text is not null")
     return rows.select("registry_id", *[T.section(F.col("text"), n).alias(n) for n in T.SECTIONS])
 
 
-def _passages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("ticker", F.lit("NONE")).alias("ticker"), "year", F.lit("outlook").alias("section"), "text", T.quality(F.col("text")).alias("quality"))
-    return P.extract_passages(docs)
+def _passages(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    docs = table(spark, d, "documents", spread=True).select("doc_id", *keep, F.coalesce("ticker", F.lit("NONE")).alias("ticker"), "year", F.lit("outlook").alias("section"), "text", T.quality(F.col("text")).alias("quality"))
+    return P.extract_passages(docs, keep)
 
 
 _SENT = f"string_split(regexp_replace(p, '([.!?])[{S.WS}]+', '\\1' || chr(1), 'g'), chr(1))"
@@ -96,8 +96,7 @@ def passage_explode(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PASSAGES}, ok AS (SELECT doc_id, {S.quality('text')} AS quality FROM passages WHERE wc >= {P.MIN_WORDS} AND num / wc <= {P.MAX_NUMERIC}) SELECT d.source, count(*) AS n, count(*) FILTER (quality = 'good') AS good, count(*) FILTER (quality = 'acceptable') AS acceptable, count(*) FILTER (quality = 'poor') AS poor FROM ok JOIN documents d USING (doc_id) GROUP BY d.source")
 def passage_quality(spark: SparkSession, d: str) -> DataFrame:
-    src = table(spark, d, "documents").select("doc_id", "source")
-    return _passages(spark, d).select("doc_id", "quality").join(src, "doc_id").groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("quality") == k).alias(k) for k in ("good", "acceptable", "poor")])
+    return _passages(spark, d, ("source",)).groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("quality") == k).alias(k) for k in ("good", "acceptable", "poor")])
 
 
 @query("""SELECT registry_id, url AS href, regexp_replace(coalesce(title, ''), '^ +| +$', '', 'g') AS label FROM collection_registry""")

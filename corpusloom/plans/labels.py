@@ -201,7 +201,7 @@ _ITEM = "it AS (SELECT passage_id AS item, ticker, sector, year, section, doc_ty
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     cols = ["row_id", "ticker", "sector", "year", "section", "doc_type", "word_count", "text"]
-    return R.first_by_key(_queue(spark, d).select("passage_id", *cols), "passage_id", "row_id").withColumnRenamed("passage_id", "item").drop("row_id")
+    return R.first_by_key(table(spark, d, "annotation_queue", spread=True).select("passage_id", *cols), "passage_id", "row_id").withColumnRenamed("passage_id", "item").drop("row_id")
 
 
 @query(f"WITH {_GOLD} SELECT model, gold, " + ", ".join(f"CAST(count(*) FILTER (pred = '{l}') AS BIGINT) AS pred_{l}" for l in N.SENTIMENTS) + " FROM pairs WHERE task = 'sentiment' GROUP BY model, gold")

@@ -9,9 +9,25 @@ COMPANY = "ticker string, name string, sector string, tier int, ir_url string, s
 PRICES = "date date, open double, high double, low double, close double, volume long, ticker string"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+SPREAD_BYTES = 64 << 20
+
+
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A Parquet table of a folder; ``spread`` for work on texts, see there."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_out(df) if spread else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is a small table in fewer files than cores, and else as it is read.
+
+    A file of one row group is one task, however many cores are idle. Tables over ``SPREAD_BYTES`` a core are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def companies(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
