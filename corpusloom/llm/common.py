@@ -12,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import table
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder; ``spread``: over all cores where it is small and in few files."""
+    return table(spark, sf_dir, name, spread)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -13,20 +13,20 @@ from .common import read, run_dir
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus(read(spark, d, "annotation_queue"))[0].select("passage_id", "task", "label")
+    return consensus.consensus(read(spark, d, "annotation_queue", True))[0].select("passage_id", "task", "label")
 
 
 def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus(read(spark, d, "annotation_queue"))[0]
+    return consensus.consensus(read(spark, d, "annotation_queue", True))[0]
 
 
 def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus(read(spark, d, "annotation_queue"))[1]
+    return consensus.consensus(read(spark, d, "annotation_queue", True))[1]
 
 
 def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Repairer]:
-    registry = read(spark, d, "collection_registry").select(F.lit("collection_registry").alias("src"), F.col("registry_id").alias("rec_id"), "text")
-    texts = registry.unionByName(read(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text"))
+    registry = read(spark, d, "collection_registry", True).select(F.lit("collection_registry").alias("src"), F.col("registry_id").alias("rec_id"), "text")
+    texts = registry.unionByName(read(spark, d, "documents", True).select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "text"))
     names = read(spark, d, "companies").select("name")
     return texts, scans.fit_repairer(texts, names)
 
@@ -40,22 +40,22 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_form.look_alike_pairs(read(spark, d, "documents"), "doc_id")
+    return text_form.look_alike_pairs(read(spark, d, "documents", True), "doc_id")
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """The documents whose text has several spellings, each with its class and spelling."""
-    out = text_form.look_alike_classes(read(spark, d, "documents"), "doc_id")
+    out = text_form.look_alike_classes(read(spark, d, "documents", True), "doc_id")
     return out.select("doc_id", F.hex("form").alias("class"), F.hex("raw").alias("spelling"))
 
 
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
-    return text_form.to_consistent(read(spark, d, "documents").select("doc_id", "text"))
+    return text_form.to_consistent(read(spark, d, "documents", True).select("doc_id", "text"))
 
 
 def p3_passages(spark: SparkSession, d: str) -> DataFrame:
     """Texts of the queue in the consistent form, with the number of stored spellings of each."""
-    keys = text_form.form_keys(read(spark, d, "annotation_queue"), "row_id")
+    keys = text_form.form_keys(read(spark, d, "annotation_queue", True), "row_id")
     return keys.groupBy(F.hex("form").alias("form")).agg(F.count("*").alias("n_rows"), F.count_distinct("raw").alias("n_spellings"), F.min("id").alias("first_row"))
 
 
@@ -76,19 +76,19 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_occurrences(read(spark, d, "documents"), "doc_id", "ticker", "published_at")
+    return site_lines.repeated_occurrences(read(spark, d, "documents", True), "doc_id", "ticker", "published_at")
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.remove_site_lines(read(spark, d, "documents").select("doc_id", "ticker", "published_at", "text"), "doc_id", "ticker", "published_at").select("doc_id", "text")
+    return site_lines.remove_site_lines(read(spark, d, "documents", True).select("doc_id", "ticker", "published_at", "text"), "doc_id", "ticker", "published_at").select("doc_id", "text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(read(spark, d, "annotation_queue"), "row_id")
+    return splitting.oversized(read(spark, d, "annotation_queue", True), "row_id")
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_oversized(read(spark, d, "annotation_queue"), "row_id")
+    return splitting.split_oversized(read(spark, d, "annotation_queue", True), "row_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,15 +121,15 @@ def p7_deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(read(spark, d, "documents"), "doc_id").filter("n_pieces > 1").select("doc_id").distinct()
+    return packing.pack(read(spark, d, "documents", True), "doc_id").filter("n_pieces > 1").select("doc_id").distinct()
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(read(spark, d, "documents"), "doc_id")
+    return packing.pack(read(spark, d, "documents", True), "doc_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_passages"), "doc_id", "item_id")
+    return leakage.find_leaks(read(spark, d, "documents", True), read(spark, d, "eval_passages"), "doc_id", "item_id")
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -141,11 +141,11 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find_personal(read(spark, d, "documents"), "doc_id")
+    return personal.find_personal(read(spark, d, "documents", True), "doc_id")
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return personal.redact(read(spark, d, "documents").select("doc_id", "text"))
+    return personal.redact(read(spark, d, "documents", True).select("doc_id", "text"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("p") and n[1].isdigit()}
