@@ -148,11 +148,11 @@ def clean_text(c: Column, unicode_form: bool = True) -> Column:
 def clean_sections(df: DataFrame, column: str = "text", unicode_form: bool = True) -> DataFrame:
     """TXT-07: ``df`` with text, quality, char_count, original_len and compression in place of ``column``.
 
-    The cleaned text is a column of its own below the measures, so the chain runs once per row. char_count is the length
-    before a long text is cut.
+    The cleaned text comes out of a generator of one row, so that no filter above is pushed into the chain: it runs once per
+    row. char_count is the length before a long text is cut.
     """
     rest = [c for c in df.columns if c != column]
-    staged = df.withColumn("__text", clean_text(F.col(column), unicode_form)).withColumn("__n", F.length("__text"))
+    staged = df.select("*", F.explode(F.array(clean_text(F.col(column), unicode_form))).alias("__text")).withColumn("__n", F.length("__text"))
     n, text, empty = F.col("__n"), F.col("__text"), F.col(column).isNull() | (strip(F.col(column)) == "")
     kind = F.when(empty, "empty").when(n < MIN_CHARS, "too_short").when(n > MAX_CHARS, "truncated").otherwise(quality(text))
     cut = F.when(empty, "").when(n > MAX_CHARS, F.concat(F.substring(text, 1, MAX_CHARS), F.lit("\n[TRUNCATED]"))).otherwise(text)

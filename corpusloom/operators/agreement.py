@@ -43,6 +43,11 @@ def fleiss(long: DataFrame) -> DataFrame:
     return mean.join(pe, "task").select("task", "n_items", F.round(F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 6).alias("kappa"))
 
 
+def fleiss_common(long: DataFrame, least: int = 5) -> DataFrame:
+    """IAA-03 as the reference has it: only items that every annotator of the task rated, and no task with fewer than ``least`` of them."""
+    return fleiss(common_items(long)).filter(F.col("n_items") >= least)
+
+
 def krippendorff(long: DataFrame, level: str, ranks: dict[str, int], textbook: bool = False) -> DataFrame:
     """IAA-04: (task, alpha). Pairs within an item are counted from the item's label counts, not by pairing its votes.
 
@@ -106,3 +111,23 @@ def simulate(items: DataFrame, annotators: list[str], labels: list[str], noise:
     u = lambda k: F.pmod(F.xxhash64("item", "annotator", F.lit(seed + k)), F.lit(1_000_003)) / 1_000_003.0
     other = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.floor(u(1) * len(labels)) + 1).cast("int"))
     return base.select("task", "item", "annotator", F.when(u(0) < noise, other).otherwise(F.col("label")).alias("label"))
+
+
+def adjudication_sheet(long: DataFrame, texts: DataFrame, task: str = "sentiment", chars: int = 200) -> DataFrame:
+    """IAA-07: items to be adjudicated with the beginning of their text and ``ann_<name>``, the label of each annotator; a pivot over the annotators' names."""
+    rows = long.filter(F.col("task") == task)
+    names = [r[0] for r in rows.select("annotator").distinct().orderBy("annotator").collect()]  # columns of the result
+    flagged = adjudication(long, task).select("item")
+    wide = rows.join(flagged, "item", "left_semi").groupBy("item").pivot("annotator", names).agg(F.first("label"))
+    wide = wide.select("item", *[F.col(f"`{n}`").alias(f"ann_{n}") for n in names])
+    return wide.join(texts.select("item", F.substring("text", 1, chars).alias("excerpt")), "item", "left")
+
+
+def agreement_table(long: DataFrame, ranks: dict[str, int], least: int = 5) -> DataFrame:
+    """IAA-09: a row per task: items and annotators in common, Fleiss, Krippendorff, mean pairwise kappa and agreement, band."""
+    common = common_items(long)
+    n = common.groupBy("task").agg(F.count_distinct("item").alias("n_items"), F.count_distinct("annotator").alias("n_annotators")).filter(F.col("n_items") >= least)
+    f = fleiss(common).select("task", F.col("kappa").alias("fleiss_kappa"))
+    a = krippendorff(common, "nominal", ranks)
+    p = pairwise_summary(common, least).select("task", F.col("mean_kappa").alias("mean_pairwise_kappa"), F.col("mean_agreement").alias("mean_pairwise_agreement"))
+    return n.join(f, "task", "left").join(a, "task", "left").join(p, "task", "left").withColumn("band", band(F.col("fleiss_kappa")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Short codes, label sets, and the order in which passages are shown.
+# Short codes, label sets, the order in which passages are shown, and the columns of the gold standard.
 SHORT_LABELS = {"p": "positive", "n": "negative", "u": "neutral", "c": "conditional", "1": "mild", "2": "moderate", "3": "strong"}
 SENTIMENTS = ("positive", "negative", "neutral")
 GUIDANCE = ("positive", "negative", "neutral", "conditional", "none")
@@ -94,3 +94,61 @@ def unmapped_tickers(df: DataFrame, companies: DataFrame) -> DataFrame:
 def rekey_tickers(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """FIX-01."""
     return df.withColumn("ticker", F.coalesce(_map(mapping, F.col("ticker")), F.col("ticker")))
+
+
+def changed_columns(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """FIX-02: (column, n_changed) of a repair."""
+    old = before.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    both = after.select(key, *columns).join(old, key)
+    n = both.agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(c) for c in columns])
+    return n.unpivot([], columns, "column", "n_changed")
+
+
+def apply_changes(queue: DataFrame, log: DataFrame, key: str, fields: list[str], order: list[str]) -> DataFrame:
+    """ANN-03: the queue with the label fields of the latest change of each passage; the log itself is only added to."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("__l"))
+    joined = queue.join(last, key, "left")
+    return joined.select(*[F.when(F.col("__l").isNotNull(), F.col(f"__l.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in queue.columns])
+
+
+def progress_totals(queue: DataFrame) -> DataFrame:
+    """ANN-04: totals by status with their share of all rows in per cent."""
+    n = queue.agg(F.count("*").alias("total"), *[F.count_if(F.col("annotation_status") == s).alias(s) for s in ("done", "skipped", "pending")])
+    return n.withColumn("percent_done", F.round(F.col("done") / F.col("total") * 100, 6))
+
+
+def web_next(queue: DataFrame, k: int = 1, sector: str | None = None, order: str = "row_id") -> DataFrame:
+    """ANN-07: the first rows of the web view, in the order of ANN-02."""
+    rank = lambda m, c: F.coalesce(_map(m, F.col(c)), F.lit(9))
+    rows = web_pending(queue)
+    rows = rows.filter(F.lower("sector") == sector.lower()) if sector else rows
+    return rows.orderBy(rank(QUALITY_RANK, "quality"), rank(SECTION_RANK, "section"), order).limit(k)
+
+
+def pre_annotation_batch(queue: DataFrame, k: int = 50, least_chars: int = 50, order: str = "row_id") -> DataFrame:
+    """ANN-12: the next k annotatable pending rows, without those too short to judge."""
+    ready = F.col("quality").isin("good", "acceptable") & ((F.col("annotation_status") == "pending") | (F.coalesce("annotation_status", F.lit("")) == ""))
+    return queue.filter(ready).orderBy(order).limit(k).filter(F.length(strip(F.col("text"))) >= least_chars)
+
+
+def merge_machine_labels(queue: DataFrame, labels: DataFrame, key: str, who: str) -> DataFrame:
+    """ANN-12: the queue with the labels of a scored batch, status ai_annotated."""
+    fields = [c for c in labels.columns if c != key]
+    tagged = labels.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in fields])
+    hit = F.col("__k").isNotNull()
+    values = {c: F.col(f"__{c}") for c in fields} | {"annotator": F.lit(who), "annotation_status": F.lit("ai_annotated")}
+    joined = queue.join(tagged, F.col(key) == F.col("__k"), "left")
+    return joined.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in queue.columns])
+
+
+def gold_or_done(gold: DataFrame | None, queue: DataFrame) -> DataFrame:
+    """SRC-08, SRC-09: the gold standard where there is one with rows, else the queue's done rows."""
+    if gold is not None and not gold.isEmpty():
+        return gold.select(*GOLD_COLUMNS)
+    return gold_rows(queue)
+
+
+def web_queue(queue: DataFrame) -> DataFrame:
+    """SRC-13: the queue as the web view loads it: nulls of text columns as empty text, short codes expanded."""
+    texts = [c for c, t in queue.dtypes if t == "string"]
+    return repair_labels(queue.na.fill("", texts), ["sentiment_label", "guidance_type", "sentiment_intensity"])

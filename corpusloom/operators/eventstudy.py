@@ -89,3 +89,24 @@ def average_by_day(ar: DataFrame, reach: int = 5) -> DataFrame:
     """EVT-12: mean abnormal return by day with its standard error."""
     out = ar.filter(F.col("day").between(-reach, reach)).groupBy("day").agg(F.avg("ar").alias("m"), (F.stddev_samp("ar") / F.sqrt(F.count("ar"))).alias("s"), F.count("ar").alias("n"))
     return out.select("day", F.round("m", 6).alias("mean_ar"), F.round("s", 6).alias("sem"), "n", F.round(1.96 * F.col("s"), 6).alias("ci95"))
+
+
+def results(events: DataFrame, models: DataFrame, ar: DataFrame, sectors: DataFrame) -> DataFrame:
+    """EVT-08: a row per event with an estimate: its model, cumulative returns and the sector of the company list (null if not in it)."""
+    m = models.select("event_id", F.round("alpha", 6).alias("alpha"), F.round("beta", 4).alias("beta"), F.round("r2", 4).alias("r_squared"), F.round("sigma", 6).alias("std_error"), F.col("n_obs").alias("est_n_obs"))
+    dim = sectors.select("ticker", F.col("sector").alias("__s"))
+    out = events.join(m, "event_id").join(cumulative(ar).drop("ticker"), "event_id").join(buy_and_hold(ar).drop("ticker"), "event_id", "left").join(dim, "ticker", "left")
+    return out.drop("sector").withColumnRenamed("__s", "sector")
+
+
+def with_sentiment(found: DataFrame, scores: DataFrame) -> DataFrame:
+    """EVT-09: scores by ticker and fiscal year (as text); events without keep nulls."""
+    return found.withColumn("__y", F.col("fiscal_year").cast("string")).join(scores.withColumnRenamed("year", "__y"), ["ticker", "__y"], "left").drop("__y")
+
+
+def simple_study(events: DataFrame, panel: DataFrame, spans: tuple = (1, 3, 5)) -> DataFrame:
+    """EVT-10, EVT-11: every event with its mean-adjusted returns, or ``error``: no_price_data or event_date_out_of_range."""
+    got = mean_adjusted(as_of(events, panel), panel, spans).drop("ticker")
+    known = panel.select("ticker").distinct().withColumn("__k", F.lit(True))
+    out = events.join(got, "event_id", "left").join(known, "ticker", "left")
+    return out.withColumn("error", F.when(F.col("__k").isNull(), "no_price_data").when(F.col("n_days").isNull(), "event_date_out_of_range")).drop("__k")

@@ -76,3 +76,23 @@ def accuracy_by_quartile(pairs: DataFrame, column: str) -> DataFrame:
 def top_confusions(table: DataFrame, k: int = 10) -> DataFrame:
     """MET-10: the k most frequent wrong pairs."""
     return table.filter("gold <> pred").groupBy("gold", "pred").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gold", "pred").limit(k)
+
+
+def compare_runs(pairs: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """MET-12: accuracy, macro F1 and kappa by (run_id, model, shots), in order of model and shots."""
+    keys = ["run_id", "model", "shots"]
+    t = contingency(pairs, keys, labels)
+    return report(t, keys, labels).select(*keys, "n", "accuracy", "macro_f1").join(cohen(t, keys).drop("n"), keys).orderBy("model", "shots", "run_id")
+
+
+def guidance_types(pairs: DataFrame, keys: list[str], labels: tuple[str, ...]) -> DataFrame:
+    """MET-07: types of guidance over rows whose gold has guidance and whose labels are in the scheme; macro over what occurs."""
+    rows = pairs.filter(F.col("gold_guidance") & F.col("gold").isin(*labels) & F.col("pred").isin(*labels))
+    return report(contingency(rows, keys), keys, None).select(*keys, "n", "accuracy", "macro_f1")
+
+
+def shares_of_gold(table: DataFrame, keys: list[str], labels: tuple[str, ...]) -> DataFrame:
+    """The confusion matrix with each row divided by its sum, as a plot takes it."""
+    c = confusion(table, keys, labels)
+    total = sum((F.col(f"pred_{l}") for l in labels), F.lit(0))
+    return c.select(*keys, "gold", *[F.round(F.col(f"pred_{l}") / total, 6).alias(f"share_{l}") for l in labels])

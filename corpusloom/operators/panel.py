@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def enrich_dates(events: DataFrame, actual: DataFrame, order: str) -> DataFrame:
 def price_stats(prices: DataFrame) -> DataFrame:
     """PRC-08."""
     return prices.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def union_prices(frames: list[DataFrame]) -> DataFrame:
+    """SRC-20: all frames of prices as one table."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def market_index(primary: DataFrame | None, fallback: DataFrame | None) -> DataFrame | None:
+    """SRC-19: (date, market_close) of the first of two sources that has rows; None if neither has."""
+    for source in (primary, fallback):
+        if source is not None and not source.isEmpty():
+            return source.select("date", F.col("close").alias("market_close"))
+    return None
+
+
+def load_prices(prices: DataFrame, ticker: str) -> DataFrame:
+    """SRC-23: one ticker's rows by date with their position from 0."""
+    rows = prices.filter(F.col("ticker") == ticker)
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1)
+
+
+def event_dates(events: DataFrame) -> DataFrame:
+    """SRC-04: the actual date of an event, else the estimated one."""
+    return events.withColumn("event_date", F.coalesce("actual_date", "estimated_date"))
+
+
+def between_dates(prices: DataFrame, first: str, last: str) -> DataFrame:
+    """SRC-21: rows of a range of dates, both ends included."""
+    return prices.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))

@@ -68,3 +68,14 @@ def preserve_annotations(new: DataFrame, old: DataFrame, key: str, columns: list
 def documents_summary(passages: DataFrame) -> DataFrame:
     """PSG-08: passages and good ones per document."""
     return passages.groupBy("doc_id").agg(F.count("*").alias("passage_count"), F.count_if(F.col("quality") == "good").alias("good_passages"))
+
+
+def run_corpus(sections: DataFrame, sector: str = "sector") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PSG-09: (passages, summary by document, sums by sector) of raw ``sections`` (doc_id, ticker, year, section, text, ``sector``): cleaned, classed and cut into passages."""
+    rest = ["doc_id", "ticker", "year", "section", sector]
+    cleaned = T.clean_sections(sections.select(*rest, "text"), "text")
+    found = extract_passages(cleaned, (sector,))
+    counts = documents_summary(found)
+    docs = sections.select("doc_id", "ticker", "year", sector).distinct().join(counts, "doc_id", "left").na.fill(0, ["passage_count", "good_passages"])
+    sums = docs.groupBy(sector).agg(F.count("*").alias("documents"), F.sum("passage_count").alias("passages"), F.sum("good_passages").alias("good"))
+    return found, docs, sums

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import doc_type, report_year
+
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """REG-02: the first row of each key. Aggregates before the shuffle, so a key with many rows is no hot spot."""
@@ -70,17 +72,45 @@ def by_priority(df: DataFrame, key: str, source: str, priority: list[str]) -> Da
     return ranked.join(best, [key, "__p"], "left_semi").drop("__p")
 
 
-def fuzzy_company(df: DataFrame, companies: DataFrame, text: str) -> DataFrame:
-    """SRC-24: the first company, in the order of the list, whose first word is in ``text``.
+def fuzzy_company(df: DataFrame, companies: DataFrame, folder: str, order: str = "ticker") -> DataFrame:
+    """SRC-24: ``df`` with ``found``: the ticker equal to ``folder``, else the first company in order whose ticker, or name without spaces, contains it.
 
-    A theta join against the company list only, whose size is checked before it is broadcast.
+    Containment is looked up by equality: a folder's first three letters meet the pieces of that length of tickers and names, and
+    what meets is checked. A folder without letters finds nothing.
     """
-    if companies.count() > 20_000:
-        raise ValueError("the company list is too long to be broadcast")
-    words = companies.select(F.col("ticker").alias("found"), F.lower(F.substring_index("name", " ", 1)).alias("__w"))
-    hit = df.join(F.broadcast(words), F.lower(F.col(text)).contains(F.col("__w")), "left")
-    keys = [c for c in df.columns]
-    return hit.groupBy(*keys).agg(F.min("found").alias("found"))
+    names = df.select(F.upper(folder).alias("__f")).distinct().filter("__f is not null and replace(__f, ' ', '') <> ''")
+    listed = companies.select(F.col("ticker").alias("found"), F.col(order).alias("__o"), F.upper("ticker").alias("__t"), F.upper(F.replace("name", F.lit(" "), F.lit(""))).alias("__n"))
+    exact = names.join(listed, F.col("__f") == F.col("__t")).select("__f", "found", F.lit(0).alias("__r"), "__o")
+    bare = F.replace("__f", F.lit(" "), F.lit(""))
+    looks = names.select("__f", F.explode(F.array(F.struct(F.lit("t").alias("k"), F.col("__f").alias("w")), F.struct(F.lit("n").alias("k"), bare.alias("w")))).alias("l")).select("__f", "l.k", "l.w", F.substring("l.w", 1, 3).alias("g"))
+    pieces = listed.select("found", "__o", F.explode(F.array(F.struct(F.lit("t").alias("k"), F.col("__t").alias("v")), F.struct(F.lit("n").alias("k"), F.col("__n").alias("v")))).alias("l")).select("found", "__o", "l.k", "l.v")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("v"), i, n))))
+    pieces = pieces.filter("length(v) > 0").withColumn("g", F.explode(F.array_distinct(grams)))
+    inside = looks.join(pieces, ["k", "g"]).filter(F.col("v").contains(F.col("w"))).select("__f", "found", F.lit(1).alias("__r"), "__o")
+    best = exact.union(inside).groupBy("__f").agg(F.min_by("found", F.struct("__r", "__o")).alias("found"))
+    return df.withColumn("__f", F.upper(folder)).join(best, "__f", "left").drop("__f")
+
+
+def mark_failed(failed: DataFrame, events: DataFrame) -> DataFrame:
+    """REG-04: (url, reason, failed_at) appended; an address may fail several times."""
+    return failed.unionByName(events.select(*failed.columns))
+
+
+def add_urls(known: DataFrame, events: DataFrame) -> DataFrame:
+    """REG-03: the list of addresses with those of the events, each once."""
+    return known.select("url").union(events.select("url")).distinct()
+
+
+def register_manual(known: DataFrame, files: DataFrame, companies: DataFrame) -> DataFrame:
+    """SRC-24: files (path, folder, stem) not yet known by local_path, as registry rows with the company of their folder."""
+    fresh = files.join(known.select(F.col("local_path").alias("path")).filter("path is not null").distinct(), "path", "left_anti")
+    found = fuzzy_company(fresh, companies, "folder").withColumn("ticker", F.coalesce("found", F.upper("folder")))
+    dim = companies.select("ticker", F.col("name").alias("company_name"), "sector")
+    rows = found.join(dim, "ticker", "left")
+    low = F.lower(F.replace("stem", F.lit("_"), F.lit(" ")))
+    url = F.concat(F.lit("manual://"), "ticker", F.lit("/"), F.element_at(F.split("path", "/"), -1))
+    year = F.coalesce(report_year(low, url), F.lit("2023"))
+    return rows.select(F.lit("manual").alias("source"), "ticker", url.alias("url"), F.col("stem").alias("title"), doc_type(low).alias("doc_type"), F.coalesce("company_name", "ticker").alias("company_name"), F.coalesce("sector", F.lit("Unknown")).alias("sector"), year.alias("year"), F.col("path").alias("local_path"))
 
 
 def latest_run(runs: DataFrame, prefer: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -56,9 +56,46 @@ def score(rows: DataFrame, prompt: str, scorers: dict[str, Scorer], attempts: in
     return base.mapInPandas(run, schema)
 
 
-def unanswered(rows: DataFrame, answers: DataFrame, item: str = "item") -> DataFrame:
-    """EVL-01: rows that no model has answered yet."""
-    return rows.join(answers.select(item).distinct(), item, "left_anti")
+def unanswered(rows: DataFrame, answers: DataFrame, models: list[str], item: str = "item") -> DataFrame:
+    """EVL-01: ``rows`` beside each model that has not answered them yet."""
+    wanted = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return wanted.join(answers.select(item, "model").distinct(), [item, "model"], "left_anti")
+
+
+# The prompts by key with task and number of examples.
+PROMPTS = (
+    ("sentiment_0shot", "sentiment", 0), ("sentiment_3shot", "sentiment", 3), ("sentiment_5shot", "sentiment", 5),
+    ("guidance_0shot", "guidance", 0), ("guidance_3shot", "guidance", 3),
+    ("combined_0shot", "combined", 0), ("combined_5shot", "combined", 5),
+)
+_ASKED = {
+    "sentiment": "Give the sentiment and its intensity",
+    "guidance": "Say whether the passage gives guidance, and of which type",
+    "combined": "Give the sentiment, its intensity, and the guidance with its type",
+}
+_SHOWN = ("Revenue rose and margins widened. -> positive", "Costs outran sales. -> negative", "The board met twice. -> neutral", "We expect growth if rates fall. -> conditional", "Output will double next year. -> positive")
+
+
+def prompt_table(spark: SparkSession) -> DataFrame:
+    """TXT-16: (prompt_key, task, shots, template); a template ends in JSON braces and the passage."""
+    shown = lambda n: "".join(f"Example: {x}\n" for x in _SHOWN[:n])
+    rows = [(k, t, n, f'{shown(n)}{_ASKED[t]} of the passage, as JSON like {{{{"{t}": ""}}}}.\nPassage: {{passage}}') for k, t, n in PROMPTS]
+    return spark.createDataFrame(rows, "prompt_key string, task string, shots int, template string")
+
+
+def get_prompts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """TXT-16: every row beside each filled prompt; an unknown key is an error."""
+    known = [k for k, _, _ in PROMPTS]
+    if unknown := [k for k in keys if k not in known]:
+        raise ValueError(f"unknown prompts {unknown}; there are {known}")
+    table = prompt_table(rows.sparkSession).filter(F.col("prompt_key").isin(*keys))
+    return rows.crossJoin(F.broadcast(table)).withColumn("prompt", fill_prompt(F.col("template"), F.col(text))).drop("template")  # seven rows
+
+
+def evaluation_rows(gold: DataFrame | None, queue: DataFrame, n: int | None = None, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """SRC-10: the gold standard, else passages of good or acceptable quality; on request a sample by the order of a seeded hash."""
+    rows = gold if gold is not None and not gold.isEmpty() else queue.filter(F.col("quality").isin("good", "acceptable"))
+    return rows if n is None else sample(rows, n, seed, key)
 
 
 def flatten(answers: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..sources.shared import stash
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -59,10 +64,51 @@ def one_hot(df: DataFrame, column: str, prefix: str, most: int = 1_000) -> DataF
     return df.withColumns({f"{prefix}{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values[1:]})
 
 
+def _lagged_products(rows: DataFrame, coef: np.ndarray, order: list[str], lags: int, k: int) -> tuple[float, list[np.ndarray]]:
+    """(sum of squared residuals, sums of products of each row's score with that of the row ``l`` before it).
+
+    Rows are sorted by ranges. Each partition sums its own products and hands on its first and last ``lags`` scores, from which the
+    driver adds the products across partitions.
+    """
+
+    def run(batches):
+        pid, n, ssr = TaskContext.get().partitionId(), 0, 0.0
+        sums, head, carry = np.zeros((lags + 1, k, k)), np.zeros((0, k)), np.zeros((0, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(f"__x{i}").to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            e = batch.column("__y").to_numpy(zero_copy_only=False) - x @ coef
+            score = x * e[:, None]
+            ssr, n = ssr + float(e @ e), n + len(e)
+            full = np.vstack([carry, score])
+            for l in range(lags + 1):
+                at = np.arange(max(len(carry), l), len(full))
+                sums[l] += full[at].T @ full[at - l]
+            head, carry = np.vstack([head, score])[:lags] if len(head) < lags else head, full[-lags:] if lags else full[:0]
+        cols = [[pid], [n], [ssr], [sums.ravel().tolist()], [head.ravel().tolist()], [carry.ravel().tolist()]]
+        kinds = [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(pa.float64())] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["pid", "n", "ssr", "sums", "head", "tail"])
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = rows.select(*order, "__y", *[f"__x{i}" for i in range(k)]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    got = wanted.mapInArrow(run, "pid int, n long, ssr double, sums array<double>, head array<double>, tail array<double>").orderBy("pid").collect()  # a row per partition
+    sums, scores, at = np.zeros((lags + 1, k, k)), {}, 0
+    for r in got:
+        sums += np.array(r["sums"]).reshape(lags + 1, k, k)
+        head, tail = np.array(r["head"]).reshape(-1, k), np.array(r["tail"]).reshape(-1, k)
+        scores |= {at + i: (r["pid"], v) for i, v in enumerate(head)} | {at + r["n"] - len(tail) + i: (r["pid"], v) for i, v in enumerate(tail)}
+        at += r["n"]
+    for t, (pid, v) in scores.items():
+        for l in range(1, lags + 1):
+            if t - l in scores and scores[t - l][0] != pid:
+                sums[l] += np.outer(v, scores[t - l][1])
+    return sum(r["ssr"] for r in got), list(sums)
+
+
 def ols_hac(df: DataFrame, y: str, xs: list[str], order: list[str], lags: int = 4, label: str = "model", least: int = 10) -> DataFrame | None:
     """STA-03: least squares with Newey-West errors (Bartlett weights); null rows dropped; None with too few rows.
 
-    Two passes over the data: cross products, then lagged products of the scores in the order of ``order``.
+    Two passes over the data: cross products, then lagged products of the scores in the order of ``order``, which is a
+    sort by ranges: no task sees all rows.
     Collinear columns are handled by the pseudo-inverse and the numeric rank.
     """
     spark = df.sparkSession
@@ -78,20 +124,14 @@ def ols_hac(df: DataFrame, y: str, xs: list[str], order: list[str], lags: int =
     b = np.array([first[f"b{i}"] for i in range(k)])
     inv, rank = np.linalg.pinv(a), int(np.linalg.matrix_rank(a))
     coef = inv @ b
-    resid = F.col("__y") - sum((x(i) * float(c) for i, c in enumerate(coef)), F.lit(0.0))
-    scored = rows.withColumn("__e", resid)
-    w = Window.orderBy(*order)
-    lagged = {f"__s{l}_{i}": F.lag(x(i) * F.col("__e"), l).over(w) for l in range(1, lags + 1) for i in range(k)}
-    scored = scored.withColumns({f"__s0_{i}": x(i) * F.col("__e") for i in range(k)} | lagged)
-    cells = [F.sum(F.col(f"__s0_{i}") * F.col(f"__s{l}_{j}")).alias(f"g{l}_{i}_{j}") for l in range(lags + 1) for i in range(k) for j in range(k)]
-    got = scored.agg(F.sum(F.col("__e") * F.col("__e")).alias("ssr"), *cells).first()
+    ssr, lagged = _lagged_products(rows, coef, order, lags, k)
     s = np.zeros((k, k))
     for l in range(lags + 1):
-        g = np.array([[got[f"g{l}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+        g = lagged[l]
         s += g if l == 0 else (1 - l / (lags + 1)) * (g + g.T)
     cov = inv @ s @ inv
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    ssr, sst = got["ssr"], first["yy"] - first["sy"] ** 2 / n
+    sst = first["yy"] - first["sy"] ** 2 / n
     r2 = 1 - ssr / sst if sst > 0 else float("nan")
     df_res = n - rank
     ll = -n / 2 * (math.log(2 * math.pi * max(ssr, 1e-300) / n) + 1)
@@ -124,14 +164,78 @@ def welch(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     return m.select("na", "nb", F.round((F.col("ma") - F.col("mb")) / F.sqrt(x + y), 6).alias("t"), F.round((x + y) * (x + y) / (x * x / (F.col("na") - 1) + y * y / (F.col("nb") - 1)), 6).alias("df"))
 
 
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Mean rank of equal values; ranks come from counts of distinct values, so ties need no wide window."""
+def average_ranks(df: DataFrame, column: str, out: str, buckets: int = 64) -> DataFrame:
+    """Mean rank of equal values. Ranks come from counts of distinct values, summed within ranges of values and shifted by the ranges before."""
     c = df.groupBy(column).agg(F.count("*").alias("__c"))
-    r = c.withColumn("__u", F.sum("__c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = sorted(set(c.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.01)))
+    part = sum((F.when(F.col(column) > x, 1).otherwise(0) for x in cuts), F.lit(0))
+    c = c.withColumn("__b", part)
+    sizes, before = {r[0]: r[1] for r in c.groupBy("__b").agg(F.sum("__c")).collect()}, []  # a row per range
+    for b in sorted(sizes):
+        before += [F.lit(b), F.lit(sum(n for x, n in sizes.items() if x < b))]
+    shift = F.create_map(*before)[F.col("__b")] if before else F.lit(0)
+    r = c.withColumn("__u", shift + F.sum("__c").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))
     r = r.withColumn(out, F.col("__u") - (F.col("__c") - 1) / 2.0).select(column, out)
     return df.join(r, column)
 
 
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p-value of t; for results of a few rows."""
+    return pd.Series([t_p_value(float(a), float(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
+
+
+def with_p(df: DataFrame, t: Column, freedom: Column) -> DataFrame:
+    """``df`` with p_value and sig."""
+    out = df.withColumn("p_value", F.round(t_p(t.cast("double"), freedom.cast("double")), 6))
+    return out.withColumn("sig", stars(F.col("p_value")))
+
+
+def group_tests(df: DataFrame, group: str, value: str, score: str, a: str = "positive", b: str = "negative", least: int = 5) -> DataFrame:
+    """STA-07, STA-08, STA-09 as one table: each group against 0, group ``a`` against ``b``, and the rank correlation of value and score."""
+    v = F.col(value)
+    base = df.filter(F.col(group).isNotNull() & v.isNotNull())
+    cols = ["group", "n", "mean_car", "std_car", "median_car", "t_stat", "p_value", "sig", "pct_positive_car"]
+    null = F.lit(None).cast("double")
+    one = group_stats(df, group, value, least)
+    one = with_p(one, F.col("t"), F.col("n") - 1).select(F.col(group).alias("group"), F.col("n").cast("string").alias("n"), F.col("mean").alias("mean_car"), F.col("std").alias("std_car"), F.col("median").alias("median_car"), F.col("t").alias("t_stat"), "p_value", "sig", F.col("share_positive").alias("pct_positive_car"))
+    mid = base.agg(*[F.avg(F.when(F.col(group) == g, v)).alias(f"m{g}") for g in (a, b)], *[F.median(F.when(F.col(group) == g, v)).alias(f"d{g}") for g in (a, b)])
+    two = with_p(welch(df, group, value, a, b).filter(f"na >= {least} and nb >= {least}"), F.col("t"), F.col("df")).crossJoin(F.broadcast(mid))  # one row
+    two = two.select(F.lit(f"{a} vs {b} (diff)").alias("group"), F.concat_ws(" vs ", "na", "nb").alias("n"), F.round(F.col(f"m{a}") - F.col(f"m{b}"), 6).alias("mean_car"), null.alias("std_car"), F.round(F.col(f"d{a}") - F.col(f"d{b}"), 6).alias("median_car"), F.col("t").alias("t_stat"), "p_value", "sig", null.alias("pct_positive_car"))
+    rho = spearman(df, value, score)
+    three = with_p(rho, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))), F.col("n") - 2)
+    three = three.select(F.lit("rank correlation").alias("group"), F.col("n").cast("string").alias("n"), F.col("rho").alias("mean_car"), null.alias("std_car"), null.alias("median_car"), null.alias("t_stat"), "p_value", "sig", null.alias("pct_positive_car"))
+    return one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
+
+
+# The models by label, with the columns of each; those the data lack are left out.
+SENTIMENT, GUIDANCE, CONTROLS = ["sentiment_score_mean"], ["guidance_rate", "guidance_score_mean"], ["beta", "post_fx_unif"]
+COMBINED = ["sentiment_score_mean", "guidance_score_mean", "guidance_rate", "weighted_score_mean"]
+EFFECTS = ("sec_", "yr_", "dt_")
+
+
+def model_specs(columns: list[str]) -> list[tuple[str, list[str]]]:
+    """STA-05: (label, columns) of the models that the columns at hand allow."""
+    have = lambda names: [c for c in names if c in columns]
+    effects = [c for p in EFFECTS for c in columns if c.startswith(p)]
+    base, full = have(COMBINED), have(COMBINED + CONTROLS)
+    specs = [
+        ("M1: Univariate Sentiment", have(SENTIMENT), 1), ("M2: Guidance Signals", have(GUIDANCE), 1), ("M3: Sentiment + Guidance", base, 2), ("M4: Sentiment + Controls", full, 3),
+        ("M5: Full Model (Sector + Year FE)", full + effects, 3), ("M6: Net Sentiment Index", have(["net_sentiment", "guidance_adj_sentiment", "beta"]) if "net_sentiment" in columns else [], 1),
+    ]
+    return [(label, xs) for label, xs, least in specs if len(xs) >= least]
+
+
+def all_models(df: DataFrame, y: str, order: list[str]) -> DataFrame | None:
+    """STA-05: every model of ``model_specs``, one after another, each by its own rows without nulls; the frame is computed once."""
+    df = stash(df, "model-frame")
+    done = [m for label, xs in model_specs(df.columns) if (m := ols_hac(df, y, xs, order, label=label)) is not None]
+    out = None
+    for m in done:
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 def spearman(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
     """STA-09."""
     rows = df.select(a, b).dropna()

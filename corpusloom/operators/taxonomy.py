@@ -110,6 +110,44 @@ def guidance_errors(rows: DataFrame) -> DataFrame:
     return ok.agg(F.count("*").alias("n"), F.count_if(~F.col("gold_guidance") & F.col("pred_guidance")).alias("false_positive"), F.count_if(F.col("gold_guidance") & ~F.col("pred_guidance")).alias("false_negative"))
 
 
+def guidance_error_rates(rows: DataFrame) -> DataFrame:
+    """ERR-09: with the shares of all valid rows."""
+    g = guidance_errors(rows)
+    return g.select("*", F.round(F.col("false_positive") / F.col("n"), 4).alias("fp_rate"), F.round(F.col("false_negative") / F.col("n"), 4).alias("fn_rate"))
+
+
+def join_gold(predictions: DataFrame, gold: DataFrame, columns: dict[str, str], key: str = "item") -> DataFrame:
+    """ERR-02: gold labels (``columns``: name in gold to name here) of predictions that don't carry them; others stay as they are."""
+    missing = {a: b for a, b in columns.items() if b not in predictions.columns}
+    if not missing:
+        return predictions
+    return predictions.join(gold.groupBy(key).agg(*[F.first(a).alias(b) for a, b in missing.items()]), key, "left")
+
+
+def disagreement_table(rows: DataFrame, items: DataFrame, models: list[str]) -> DataFrame:
+    """ERR-04: items on which the models differ, a column per model with its first prediction (the smallest), beside the item's data."""
+    first = rows.filter("pred is not null").groupBy("item", "model").agg(F.min("pred").alias("pred"))
+    wide = first.groupBy("item").agg(*[F.max(F.when(F.col("model") == m, F.col("pred"))).alias(m) for m in models], F.count_distinct("pred").alias("n_labels"))
+    return wide.filter("n_labels > 1").join(items, "item", "left")
+
+
+def sector_by_model(tagged: DataFrame, models: list[str]) -> DataFrame:
+    """ERR-10: error rate by sector, a column per model."""
+    wrong = F.col("is_sentiment_error").cast("int")
+    return tagged.filter("sector is not null").groupBy("sector").agg(*[F.round(F.avg(F.when(F.col("model") == m, wrong)), 6).alias(m) for m in models])
+
+
+def disagreement_by_sector(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """ERR-12: share of items on which the models differ, and items, by sector."""
+    per = rows.filter("pred is not null").groupBy("item").agg((F.count_distinct("pred") > 1).cast("int").alias("d"))
+    return per.join(items.select("item", "sector"), "item").filter("sector is not null").groupBy("sector").agg(F.round(F.avg("d"), 6).alias("rate"), F.count("*").alias("n"))
+
+
+def example_sheet(tagged: DataFrame, texts: DataFrame, chars: int = 400, k: int = 3) -> DataFrame:
+    """ERR-05: the examples with the beginning of their text."""
+    return examples(tagged, k).join(texts.select("item", F.substring("text", 1, chars).alias("excerpt")), "item", "left")
+
+
 def length_bins(tagged: DataFrame) -> DataFrame:
     """ERR-11: error rate by word count, bins open on the left; longer and empty rows are left out."""
     c, bin_ = F.col("word_count"), None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, labels, market
+from . import corpus, labels, market, study
 
-QUERIES: dict = corpus.QUERIES | labels.QUERIES | market.QUERIES
-SQL: dict = corpus.SQL | labels.SQL | market.SQL
+QUERIES: dict = corpus.QUERIES | labels.QUERIES | market.QUERIES | study.QUERIES
+SQL: dict = corpus.SQL | labels.SQL | market.SQL | study.SQL

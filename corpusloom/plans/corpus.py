@@ -135,9 +135,12 @@ def registry_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.summary(table(spark, d, "collection_registry"))
 
 
-@query("SELECT r.registry_id, min(c.ticker) AS found FROM collection_registry r LEFT JOIN companies c ON contains(lower(r.title), lower(split_part(c.name, ' ', 1))) GROUP BY r.registry_id")
+@query("""WITH f AS (SELECT registry_id, upper(CASE WHEN registry_id % 3 = 0 THEN ticker ELSE split_part(company_name, ' ', 1) || CASE WHEN registry_id % 3 = 1 THEN ' ' || split_part(company_name, ' ', 2) ELSE '' END END) AS folder FROM collection_registry)
+SELECT registry_id, (SELECT c.ticker FROM companies c WHERE c.ticker = f.folder OR ((contains(upper(c.ticker), f.folder) OR contains(replace(upper(c.name), ' ', ''), replace(f.folder, ' ', ''))) AND replace(f.folder, ' ', '') <> '') ORDER BY c.ticker <> f.folder, c.ticker LIMIT 1) AS found FROM f""")
 def fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuzzy_company(table(spark, d, "collection_registry").select("registry_id", "title"), table(spark, d, "companies"), "title").select("registry_id", "found")
+    word = lambda k: F.split_part("company_name", F.lit(" "), F.lit(k))
+    folder = F.when(F.col("registry_id") % 3 == 0, F.col("ticker")).otherwise(F.concat(word(1), F.when(F.col("registry_id") % 3 == 1, F.concat(F.lit(" "), word(2))).otherwise("")))
+    return R.fuzzy_company(table(spark, d, "collection_registry").select("registry_id", folder.alias("folder")), table(spark, d, "companies"), "folder").select("registry_id", "found")
 
 
 @query("WITH p AS (SELECT registry_id, ticker, source, CASE source WHEN 'exchange_portal' THEN 0 WHEN 'company_ir' THEN 1 WHEN 'news_wire' THEN 2 ELSE 3 END AS r FROM collection_registry WHERE ticker IS NOT NULL) SELECT registry_id, ticker, source FROM p WHERE r = (SELECT min(r) FROM p x WHERE x.ticker = p.ticker)")
