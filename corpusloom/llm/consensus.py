@@ -178,19 +178,16 @@ def fit_consensus(queue: DataFrame, rounds: int = ROUNDS, fit_items: int = FIT_I
         counts = _confusion_counts(items, models)
         moved = 0.0
         for t, model in models.items():
-            c = np.zeros(model.conf.shape)
-            for a, k, l, x in counts.get(t, ()):
-                c[a, k, l] = x
             old = model.conf
-            model.set_confusion(c)
+            model.set_confusion(counts[t])
             moved = max(moved, float(np.abs(np.exp(old) - np.exp(model.conf)).max(initial=0.0)))
         if moved < tol and i > WARM_UP:
             break
     return items, models, names
 
 
-def _confusion_counts(items: DataFrame, models: dict[str, Model]) -> dict[str, list]:
-    """Expected counts (annotator, true, given) per task, summed on the cluster."""
+def _confusion_counts(items: DataFrame, models: dict[str, Model]) -> dict[str, np.ndarray]:
+    """Expected counts, annotators x true x given, per task; summed on the cluster."""
     shared = items.sparkSession.sparkContext.broadcast(models)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,10 +209,13 @@ def _confusion_counts(items: DataFrame, models: dict[str, Model]) -> dict[str, l
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds)], names=["task", "a", "k", "l", "x"])
 
-    rows = map_arrow(items, fn, "task string, a int, k int, l int, x double").groupBy("task", "a", "k", "l").agg(F.sum("x").alias("x")).collect()  # annotators x labels x labels
-    found: dict[str, list] = {}
-    for r in rows:
-        found.setdefault(r["task"], []).append((r["a"], r["k"], r["l"], r["x"]))
+    sums = map_arrow(items, fn, "task string, a int, k int, l int, x double").groupBy("task", "a", "k", "l").agg(F.sum("x").alias("x")).toArrow()  # annotators x labels x labels
+    names, cells = np.array(sums.column("task").to_pylist()), [sums.column(c).to_numpy() for c in ("a", "k", "l", "x")]
+    found = {}
+    for t, model in models.items():
+        found[t] = np.zeros(model.conf.shape)
+        a, k, l, x = (c[names == t] for c in cells)
+        found[t][a, k, l] = x
     return found
 
 
@@ -250,11 +250,9 @@ def consensus(queue: DataFrame, min_annotators: int = 3, **fit) -> tuple[DataFra
 
     labels = map_arrow(items, fn, "passage_id string, task string, label string, n_votes int, confidence double, agreement double").filter(F.col("n_votes") >= min_annotators)
     rows = []
-    for t, cells in _confusion_counts(items, models).items():
-        k = models[t].k
-        c = np.zeros((len(names), k, k))
-        for a, i, j, x in cells:
-            c[a, i, j] = x
+    for t, c in _confusion_counts(items, models).items():
+        if not c.sum():
+            continue
         share = c.sum(axis=(0, 2)) / max(c.sum(), 1e-12)
         for a, name in enumerate(names):
             p = np.exp(models[t].conf[a])
