@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.shared import stash
+from .ranking import ranked
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -254,35 +255,48 @@ def descriptives(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.avg((v > 0.2).cast("int")), 6).alias("share_high"), F.round(F.avg((v < -0.2).cast("int")), 6).alias("share_low"))
 
 
-def _replicates(df: DataFrame, y: str, x: str, n: int, seed: int, permute: bool, most: int) -> DataFrame:
-    spark = df.sparkSession
-    pairs = df.select(F.col(y).cast("double"), F.col(x).cast("double")).dropna().orderBy(y, x).limit(most + 1).toPandas()
-    if len(pairs) > most:
-        raise ValueError(f"resampling holds at most {most} pairs on an executor")
-    shared = spark.sparkContext.broadcast(pairs.to_numpy())
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with its position from 0 in ``order``: sorted by ranges, positions of a range shifted by the sizes of those before."""
+    s = stash(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part, shift, at = F.shiftright("__m", 33), [], 0
+    for p, n in sorted(s.groupBy(part).count().collect()):  # a row per partition
+        shift += [F.lit(p), F.lit(at)]
+        at += n
+    offset = F.create_map(*shift)[part] if shift else F.lit(0)
+    return s.withColumn(out, offset + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m")
 
-    def run(batches):
-        data = shared.value
-        for b in batches:
-            out = []
-            for i in b["id"]:
-                rnd = np.random.default_rng([seed, int(i)])
-                d = np.column_stack([rnd.permutation(data[:, 0]), data[:, 1]]) if permute else data[rnd.integers(0, len(data), len(data))]
-                c = d[:, 1] - d[:, 1].mean()
-                out.append(float(c @ d[:, 0] / (c @ c)) if len(d) and c @ c > 0 else float("nan"))
-            yield pd.DataFrame({"id": b["id"], "slope": out})
 
-    return spark.range(n).mapInPandas(run, "id long, slope double")
+def _draw(*parts: Column) -> Column:
+    """A number below 2^60 by hash of the parts, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("_", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def placebo(df: DataFrame, y: str, x: str, n: int = 1_000, seed: int = 42, most: int = 1_000_000) -> DataFrame:
-    """STA-10: share of permuted slopes at least as large as the true one; replicates run on the cluster."""
+def _replicates(df: DataFrame, y: str, x: str, reps: int, seed: int, permute: bool) -> DataFrame:
+    """(id, slope) of each replicate: every row meets a drawn one, or the one of its place in a permutation.
+
+    The grid of replicates and rows is a range that is split like any table, so the number of rows has no bound.
+    """
+    pairs = numbered(df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")).dropna(), ["y", "x"], "i")
+    n = pairs.count()
+    grid = df.sparkSession.range(reps * n).select(F.expr(f"id div {max(n, 1)}").alias("id"), F.expr(f"id % {max(n, 1)}").alias("i"))
+    if not permute:
+        drawn = grid.select("id", (_draw(F.lit(seed), F.col("id"), F.col("i")) % max(n, 1)).alias("i")).join(pairs, "i")
+        return drawn.groupBy("id").agg(F.regr_slope("y", "x").alias("slope"))
+    ranks = ranked(grid.withColumn("h", _draw(F.lit(seed), F.col("id"), F.col("i"))), ["id"], F.shiftleft("h", 4), ["h", "i"], "k")
+    met = ranks.join(pairs.select("i", "y"), "i").join(pairs.select(F.col("i").alias("k"), "x"), "k")
+    return met.groupBy("id").agg(F.regr_slope("y", "x").alias("slope"))
+
+
+def placebo(df: DataFrame, y: str, x: str, n: int = 1_000, seed: int = 42) -> DataFrame:
+    """STA-10: share of permuted slopes at least as large as the true one."""
     true = df.select(y, x).dropna().agg(F.regr_slope(y, x).alias("slope"))
-    reps = _replicates(df, y, x, n, seed, True, most).withColumnRenamed("slope", "r")
-    return reps.crossJoin(F.broadcast(true)).agg(F.first("slope").alias("slope"), F.avg((F.abs("r") >= F.abs("slope")).cast("int")).alias("p_value"), F.count("*").alias("n_permutations"))
+    reps = _replicates(df, y, x, n, seed, True).withColumnRenamed("slope", "r")
+    out = reps.crossJoin(F.broadcast(true)).agg(F.first("slope").alias("slope"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"), F.avg((F.abs("r") >= F.abs("slope")).cast("int")).alias("p"), F.count("*").alias("n_permutations"))  # one row
+    return out.select(F.round("slope", 6).alias("slope"), F.round("m", 6).alias("placebo_mean"), F.round("s", 6).alias("placebo_std"), F.round("p", 4).alias("p_value"), "n_permutations")
 
 
-def bootstrap(df: DataFrame, y: str, x: str, n: int = 2_000, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+def bootstrap(df: DataFrame, y: str, x: str, n: int = 2_000, seed: int = 42) -> DataFrame:
     """STA-11: percentile interval of the slope over resampled rows."""
-    reps = _replicates(df, y, x, n, seed, False, most).filter(~F.isnan("slope"))
-    return reps.agg(F.avg("slope").alias("mean"), F.stddev_pop("slope").alias("std"), F.percentile("slope", F.lit(0.025)).alias("low"), F.percentile("slope", F.lit(0.975)).alias("high"), F.count("*").alias("n_resamples"))
+    reps = _replicates(df, y, x, n, seed, False).filter("slope is not null")
+    out = reps.agg(F.avg("slope").alias("mean"), F.stddev_pop("slope").alias("std"), F.percentile("slope", F.lit(0.025)).alias("low"), F.percentile("slope", F.lit(0.975)).alias("high"), F.count("*").alias("n_resamples"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")], "n_resamples")

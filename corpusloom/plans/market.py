@@ -190,11 +190,17 @@ def ols_hac(spark: SparkSession, d: str) -> DataFrame:
     return ST.ols_hac(_scores(spark, d), "weighted", ["net_sentiment", "guidance_rate", "guidance_mean"], ["ticker", "year"])
 
 
-@query()
+_ROWS = f"{L.SCORES_SQL}, pr AS (SELECT CAST(weighted AS DOUBLE) AS y, CAST(net_sentiment AS DOUBLE) AS x, row_number() OVER (ORDER BY weighted, net_sentiment) - 1 AS i FROM scores WHERE weighted IS NOT NULL AND net_sentiment IS NOT NULL), nn AS (SELECT count(*) AS n FROM pr)"
+_HASH = "CAST('0x' || substring(md5('42_' || r || '_' || pr.i), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH {_ROWS}, k AS (SELECT r, y, row_number() OVER (PARTITION BY r ORDER BY {_HASH}, pr.i) - 1 AS k FROM pr, range(1000) t(r)), s AS (SELECT r, regr_slope(k.y, pr.x) AS s FROM k JOIN pr ON pr.i = k.k GROUP BY r), tr AS (SELECT regr_slope(y, x) AS t FROM pr)
+SELECT round(any_value(t), 6) AS slope, round(avg(s), 6) AS placebo_mean, round(stddev_pop(s), 6) AS placebo_std, round(avg(CASE WHEN abs(s) >= abs(t) THEN 1 ELSE 0 END), 4) AS p_value, count(*) AS n_permutations FROM s, tr""")
 def placebo(spark: SparkSession, d: str) -> DataFrame:
     return ST.placebo(_scores(spark, d), "weighted", "net_sentiment")
 
 
-@query()
+@query(f"""WITH {_ROWS}, k AS (SELECT r, {_HASH} % n AS j FROM pr, range(2000) t(r), nn), s AS (SELECT r, regr_slope(y, x) AS s FROM k JOIN pr ON pr.i = k.j GROUP BY r)
+SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS n_resamples FROM s WHERE s IS NOT NULL""")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return ST.bootstrap(_scores(spark, d), "weighted", "net_sentiment")
