@@ -115,6 +115,7 @@ def ols_hac(df: DataFrame, y: str, xs: list[str], order: list[str], lags: int =
     spark = df.sparkSession
     names = ["const", *xs]
     rows = df.select(*order, F.col(y).cast("double").alias("__y"), *[F.col(f"`{x}`").cast("double").alias(f"__x{i}") for i, x in enumerate(xs, 1)]).dropna(subset=["__y", *[f"__x{i}" for i in range(1, len(xs) + 1)]]).withColumn("__x0", F.lit(1.0))
+    rows = stash(rows, "model-rows")  # read for the cross products, the ranges and the lags
     k = len(names)
     x = lambda i: F.col(f"__x{i}")
     first = rows.agg(F.count("*").alias("n"), F.sum(F.col("__y")).alias("sy"), F.sum(F.col("__y") * F.col("__y")).alias("yy"), *[F.sum(x(i) * F.col("__y")).alias(f"b{i}") for i in range(k)], *[F.sum(x(i) * x(j)).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]).first()
@@ -239,9 +240,9 @@ def all_models(df: DataFrame, y: str, order: list[str]) -> DataFrame | None:
 
 def spearman(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
     """STA-09."""
-    rows = df.select(a, b).dropna()
-    ranked = average_ranks(average_ranks(rows, a, "__ra"), b, "__rb")
-    return ranked.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho")).filter(F.col("n") >= least).select("n", F.round("rho", 6).alias("rho"))
+    rows = stash(df.select(a, b).dropna(), "rank-pairs")  # read several times
+    met = average_ranks(average_ranks(rows, a, "__ra"), b, "__rb")
+    return met.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho")).filter(F.col("n") >= least).select("n", F.round("rho", 6).alias("rho"))
 
 
 def line(df: DataFrame, y: str, x: str) -> DataFrame:
