@@ -166,12 +166,11 @@ def welch(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     return m.select("na", "nb", F.round((F.col("ma") - F.col("mb")) / F.sqrt(x + y), 6).alias("t"), F.round((x + y) * (x + y) / (x * x / (F.col("na") - 1) + y * y / (F.col("nb") - 1)), 6).alias("df"))
 
 
-def average_ranks(df: DataFrame, column: str, out: str, buckets: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str, buckets: int = 32) -> DataFrame:
     """Mean rank of equal values. Ranks come from counts of distinct values, summed within ranges of values and shifted by the ranges before."""
-    c = df.groupBy(column).agg(F.count("*").alias("__c"))
+    c = stash(df.groupBy(column).agg(F.count("*").alias("__c")), "rank-values")
     cuts = sorted(set(c.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.01)))
-    part = sum((F.when(F.col(column) > x, 1).otherwise(0) for x in cuts), F.lit(0))
-    c = c.withColumn("__b", part)
+    c = c.withColumn("__b", F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x < F.col(column))))
     sizes, before = {r[0]: r[1] for r in c.groupBy("__b").agg(F.sum("__c")).collect()}, []  # a row per range
     for b in sorted(sizes):
         before += [F.lit(b), F.lit(sum(n for x, n in sizes.items() if x < b))]
